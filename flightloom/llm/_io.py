@@ -2,13 +2,29 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows in a batch for Python. With texts and token sets in the rows this bounds a worker's memory.
+BATCH_ROWS = 1000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of steps that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    _small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -30,6 +46,7 @@ def new_folder(spark: SparkSession, what: str) -> str:
 
 def written(frame: DataFrame, what: str) -> DataFrame:
     """The frame written as Parquet to the shared folder and read back: lineage ends there."""
+    _small_batches(frame.sparkSession)
     path = new_folder(frame.sparkSession, what)
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)

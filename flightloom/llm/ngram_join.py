@@ -9,8 +9,9 @@
    the length filter, the positional filter (both tails are too short for the missing overlap) and
    the suffix filter (a bound on the symmetric difference from 1024 hashed cells of either set).
 4. First every posting list links its members to its least member only. Links that an exact comparison
-   confirms are merged into components. Then only pairs that stand in different components are left to
-   compare, so a large group of near copies never gives all its pairs.
+   confirms are merged into components. In ``ROUNDS`` further rounds each member of a list gives its
+   nearest partner in another component; the last round gives every pair that is still in different
+   components and that no filter excludes. So a large group of near copies never gives all its pairs.
 5. Lists over ``BLOCK`` members are cut into blocks; pairs of blocks are dealt to different tasks.
 
 Defined results: null texts and texts without words have an empty set and link with nothing; fewer than
@@ -21,13 +22,15 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flightloom.llm._io import written
+from flightloom.llm._io import release, written
 from flightloom.llm._text import Scan, grams, mix, pieces, ranges, strings
 from flightloom.llm.components import components
 
@@ -38,6 +41,7 @@ PAIRS = 1 << 18
 BITS = 1024
 WORD_GRAM = 4
 PERCENT = 85
+ROUNDS = 3
 
 
 def shingle_sets(column: pa.Array, n: int = WORD_GRAM, lower: bool = True) -> list[np.ndarray]:
@@ -105,23 +109,21 @@ def cell_levels(sets: DataFrame) -> np.ndarray:
                 np.add.at(cells, (tokens & np.uint64(CELLS - 1)).astype(np.int64), 1)
         parts = cells.reshape(-1, CHUNK)
         held = [k for k in range(len(parts)) if parts[k].any()]
-        at = [np.flatnonzero(parts[k]) for k in held]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(held, pa.int32()), pa.array([a.astype(np.uint16).tobytes() for a in at], pa.binary()), pa.array([parts[k][a].tobytes() for k, a in zip(held, at)], pa.binary())],
-            ["chunk", "at", "counts"],
-        )
+        packed = [zlib.compress(parts[k].astype(np.uint8 if parts[k].max() < 256 else np.uint32).tobytes(), 1) for k in held]
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(packed, pa.binary())], ["chunk", "counts"])
 
     def add(frames):
         total: dict[int, np.ndarray] = {}
         for frame in frames:
-            for chunk, at, counts in zip(frame["chunk"], frame["at"], frame["counts"]):
+            for chunk, counts in zip(frame["chunk"], frame["counts"]):
+                data = zlib.decompress(counts)
                 row = total.setdefault(chunk, np.zeros(CHUNK, np.int64))
-                row[np.frombuffer(at, np.uint16)] += np.frombuffer(counts, np.uint32)
+                row += np.frombuffer(data, np.uint8 if len(data) == CHUNK else np.uint32)
         if total:
             levels = [np.minimum(255, np.ceil(8 * np.log2(np.maximum(row, 1)))).astype(np.uint8).tobytes() for row in total.values()]
             yield pd.DataFrame({"chunk": list(total), "levels": levels})
 
-    parts = sets.where("tokens is not null").select("tokens").mapInArrow(count, "chunk int, at binary, counts binary")
+    parts = sets.where("tokens is not null").select("tokens").mapInArrow(count, "chunk int, counts binary")
     chunks = CELLS // CHUNK
     summed = parts.repartition(chunks, "chunk").mapInPandas(add, "chunk int, levels binary")
     out = np.zeros((chunks, CHUNK), np.uint8)
@@ -141,8 +143,8 @@ def _bits(tokens: np.ndarray) -> bytes:
     return np.packbits(flags).tobytes()
 
 
-def postings(sets: DataFrame, levels, percent: int) -> DataFrame:
-    """token, set_key, n, pos: the prefix of each set in rare-first order."""
+def postings(sets: DataFrame, levels, percent: int, among=None) -> DataFrame:
+    """token, set_key, n, pos: the prefix of each set in rare-first order; among: only tokens this filter may hold."""
 
     def run(batches):
         rank = levels.value
@@ -158,10 +160,14 @@ def postings(sets: DataFrame, levels, percent: int) -> DataFrame:
                 p = prefix_length(n, percent)
                 order = rank[(tokens & np.uint64(CELLS - 1)).astype(np.int64)]
                 chosen = np.argsort(order, kind="stable")[:p]  # tokens are sorted by hash
-                out_t.append(tokens[chosen])
-                out_k.append(np.full(p, key, np.int64))
-                out_n.append(np.full(p, n, np.int32))
-                out_p.append(np.arange(p, dtype=np.int32))
+                prefix, place = tokens[chosen], np.arange(p, dtype=np.int32)
+                if among is not None:
+                    kept = _may_hold(among.value, prefix.view(np.int64))
+                    prefix, place = prefix[kept], place[kept]
+                out_t.append(prefix)
+                out_k.append(np.full(len(prefix), key, np.int64))
+                out_n.append(np.full(len(prefix), n, np.int32))
+                out_p.append(place)
             if out_t:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([t.view(np.int64) for t in out_t], out_k, out_n, out_p)], ["token", "set_key", "n", "pos"])
 
@@ -237,17 +243,20 @@ def _probes(keys: np.ndarray) -> list[np.ndarray]:
     return [((h >> np.uint64(shift)) & np.uint64(CELLS * 8 - 1)).astype(np.int64) for shift in (0, 19, 38)]
 
 
+def _may_hold(held: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    ok = np.ones(len(keys), bool)
+    for probe in _probes(keys):
+        ok &= (held[probe >> 3] >> (7 - (probe & 7)).astype(np.uint8)) & 1 == 1
+    return ok
+
+
 def only(sets: DataFrame, keys: DataFrame) -> DataFrame:
     """One (set_key, tokens) row for each of the keys. A Bloom filter keeps most other sets out of the shuffle."""
     held = sets.sparkSession.sparkContext.broadcast(key_filter(keys))
 
     def sift(batches):
         for batch in batches:
-            at = batch.column(0).to_numpy(zero_copy_only=False)
-            ok = np.ones(len(at), bool)
-            for probe in _probes(at):
-                ok &= (held.value[probe >> 3] >> (7 - (probe & 7)).astype(np.uint8)) & 1 == 1
-            yield batch.filter(pa.array(ok, pa.bool_()))
+            yield batch.filter(pa.array(_may_hold(held.value, batch.column(0).to_numpy(zero_copy_only=False)), pa.bool_()))
 
     near = sets.where("tokens is not null").select("set_key", "tokens").mapInArrow(sift, "set_key long, tokens binary")
     return near.join(keys.distinct(), "set_key", "left_semi").dropDuplicates(["set_key"])
@@ -274,11 +283,20 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def open_pairs(met: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one posting list in different components that no filter excludes; rows carry unit, side.
+def _nearest(i, j, near, key) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs (i, j) in both directions the nearest one of each i; ties: the least key."""
+    i, j, near = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([near, near])
+    order = np.lexsort((key[j], -near, i))
+    i, j, near = i[order], j[order], near[order]
+    first = np.concatenate([[True], i[1:] != i[:-1]]) if len(i) else np.zeros(0, bool)
+    return i[first], j[first], near[first]
+
+
+def open_pairs(units: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Pairs of one unit in different components that no filter excludes.
 
-    unit is a list, or two blocks of a long one; a pair is made at the first prefix shingle that both
-    sides share only as far as one list shows; repeats from other lists are removed afterwards.
+    A unit is a posting list, or two blocks of a long one. With nearest, each member gives only the pair of
+    the least possible difference; else it gives all. Pairs found in several units are given once.
     """
 
     def run(frames):
@@ -288,25 +306,25 @@ def open_pairs(met: DataFrame, percent: int) -> DataFrame:
             key, comp = frame["set_key"].to_numpy(), frame["comp"].to_numpy()
             n, pos, side = (frame[c].to_numpy().astype(np.int64) for c in ("n", "pos", "side"))
             bits = np.frombuffer(b"".join(frame["bits"]), np.uint64).reshape(len(frame), BITS // 64)
-            found_a, found_b = [], []
+            found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
 
             def meet(i, j):
                 ok = (comp[i] != comp[j]) & _may_link(n[i], pos[i], n[j], pos[j], percent)
                 i, j = i[ok], j[ok]
                 need = _required(n[i], n[j], percent)
-                only_i = np.bitwise_count(bits[i] & ~bits[j]).sum(1)
-                only_j = np.bitwise_count(bits[j] & ~bits[i]).sum(1)
-                ok = (n[i] - only_i >= need) & (n[j] - only_j >= need)
-                found_a.append(np.minimum(key[i[ok]], key[j[ok]]))
-                found_b.append(np.maximum(key[i[ok]], key[j[ok]]))
+                most = np.minimum(n[i] - np.bitwise_count(bits[i] & ~bits[j]).sum(1), n[j] - np.bitwise_count(bits[j] & ~bits[i]).sum(1))
+                ok = most >= need
+                i, j, most = i[ok], j[ok], most[ok]
+                near = most / (n[i] + n[j] - most)
+                found.append(_nearest(i, j, near, key) if nearest else (i, j, near))
 
             short_i, short_m = [], []
             for lo, hi in zip(edges[:-1], edges[1:]):
                 whole = bool((side[lo:hi] == 0).all())
                 rows = np.arange(lo, hi)
                 if whole and hi - lo <= 64:
-                    short_i.append(np.arange(lo, hi))
-                    short_m.append(hi - np.arange(lo, hi) - 1)
+                    short_i.append(rows)
+                    short_m.append(hi - rows - 1)
                     continue
                 left = rows if whole else rows[side[lo:hi] == 1]
                 right = rows if whole else rows[side[lo:hi] == 2]
@@ -322,17 +340,26 @@ def open_pairs(met: DataFrame, percent: int) -> DataFrame:
                 cut = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(m)]) // PAIRS)) + 1
                 for part in np.split(np.arange(len(i)), cut):
                     meet(np.repeat(i[part], m[part]), ranges(i[part] + 1, m[part]))
-            yield pd.DataFrame({"a": np.concatenate(found_a), "b": np.concatenate(found_b)}).drop_duplicates() if found_a else pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+            i, j, near = (np.concatenate(x) for x in zip(*found))
+            if nearest:
+                i, j, _ = _nearest(i, j, near, key)
+            yield pd.DataFrame({"a": np.minimum(key[i], key[j]), "b": np.maximum(key[i], key[j])}).drop_duplicates()
 
-    units = met.select("unit", "set_key", "comp", "n", "pos", "side", "bits")
+    units = units.select("unit", "set_key", "comp", "n", "pos", "side", "bits")
     return units.repartition("unit").sortWithinPartitions("unit").mapInPandas(run, "a long, b long").distinct()
 
 
+def _open_rows(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """token, set_key, n, pos, comp, members: the postings of the lists that reach over components."""
+    rows = met.select("token", "set_key", "n", "pos").join(roots.withColumnRenamed("node", "set_key"), "set_key", "left")
+    rows = written(rows.select("token", "set_key", "n", "pos", F.coalesce("root", "set_key").alias("comp")), "rows")
+    sizes = rows.groupBy("token").agg(F.count("*").alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    sizes = written(sizes.where("lo <> hi").select("token", "members"), "lists")
+    return written(rows.join(sizes, "token"), "open")
+
+
 def _units(rows: DataFrame, block: int) -> DataFrame:
     """Posting rows with their unit: the list, or each pair of blocks that the row's block is part of."""
-    sizes = rows.groupBy("token").agg(F.count("*").alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    sizes = written(sizes.where("members > 1 and lo <> hi").select("token", "members"), "lists")
-    rows = rows.join(sizes, "token")
     blocks = F.ceil(F.col("members") / block).cast("int")
     mine = F.pmod(F.xxhash64("set_key"), blocks.cast("long")).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("mine", mine)
@@ -344,25 +371,36 @@ def _units(rows: DataFrame, block: int) -> DataFrame:
     return plain.select(columns).unionByName(cut.select(columns))
 
 
-def linked_classes(sets: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+def linked_classes(sets: DataFrame, percent: int = PERCENT, block: int = BLOCK, rounds: int = ROUNDS) -> DataFrame:
     """node, root: the components of all set keys that link with another (root: the least key)."""
     spark = sets.sparkSession
     levels = spark.sparkContext.broadcast(cell_levels(sets))
-    posted = postings(sets, levels, percent).distinct()
-    heads = posted.groupBy("token").agg(F.count("*").alias("members"), F.min(F.struct("set_key", "n", "pos")).alias("head")).where("members > 1")
-    met = written(posted.join(written(heads, "heads"), "token"), "met")
-    pairs = written(star_pairs(met, percent), "pairs")
-    tokens = only(sets, pairs.select(F.explode(F.array("a", "b")).alias("set_key")))
-    first = written(confirmed(pairs, tokens, percent), "links")
-    roots = components(first).withColumnRenamed("node", "set_key")
-    carried = sets.where("bits is not null").select("set_key", "bits").dropDuplicates(["set_key"])
-    carried = carried.join(met.select("set_key").distinct(), "set_key", "left_semi").join(roots, "set_key", "left")
-    carried = written(carried.select("set_key", "bits", F.coalesce("root", "set_key").alias("comp")), "carried")
-    rows = written(met.select("token", "set_key", "n", "pos").join(carried, "set_key"), "rows")
-    rest = written(open_pairs(_units(rows, block), percent).join(pairs, ["a", "b"], "left_anti"), "rest")
-    tokens = only(sets, rest.select(F.explode(F.array("a", "b")).alias("set_key")))
-    second = written(confirmed(rest, tokens, percent), "links")
-    return components(first.unionByName(second))
+    several = written(postings(sets, levels, percent).groupBy("token").agg(F.count("*").alias("members")).where("members > 1").select("token"), "several")
+    release(spark)
+    among = spark.sparkContext.broadcast(key_filter(several))
+    met = written(postings(sets, levels, percent, among).join(several, "token").distinct(), "met")
+    heads = met.groupBy("token").agg(F.min(F.struct("set_key", "n", "pos")).alias("head"))
+    pairs = written(star_pairs(met.join(written(heads, "heads"), "token"), percent), "pairs")
+    tried, links, roots = pairs, None, None
+    turn = 0
+    while turn <= rounds + 1:
+        if turn:
+            met = _open_rows(met, roots)
+            bits = sets.where("bits is not null").select("set_key", "bits").dropDuplicates(["set_key"])
+            bits = written(bits.join(met.select("set_key").distinct(), "set_key", "left_semi"), "bits")
+            pairs = written(open_pairs(_units(met.join(bits, "set_key"), block), percent, turn <= rounds).join(tried, ["a", "b"], "left_anti"), "pairs")
+            tried = tried.unionByName(pairs)
+            if pairs.isEmpty():
+                turn = rounds + 1 if turn <= rounds else rounds + 2
+                continue
+        release(spark)
+        tokens = written(only(sets, pairs.select(F.explode(F.array("a", "b")).alias("set_key"))), "tokens")
+        found = written(confirmed(pairs, tokens, percent), "links")
+        links = found if links is None else links.unionByName(found)
+        roots = components(links)
+        release(spark)
+        turn += 1
+    return roots
 
 
 def classed(docs: DataFrame, n: int = WORD_GRAM, percent: int = PERCENT) -> DataFrame:
