@@ -41,7 +41,7 @@ PAIRS = 1 << 18
 BITS = 1024
 WORD_GRAM = 4
 PERCENT = 85
-ROUNDS = 3
+ROUNDS = 1
 
 
 def shingle_sets(column: pa.Array, n: int = WORD_GRAM, lower: bool = True) -> list[np.ndarray]:
@@ -262,6 +262,26 @@ def only(sets: DataFrame, keys: DataFrame) -> DataFrame:
     return near.join(keys.distinct(), "set_key", "left_semi").dropDuplicates(["set_key"])
 
 
+def plausible(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the suffix filter doesn't exclude; bits: set_key, n_shingles, bits."""
+
+    def run(batches):
+        for batch in batches:
+            na, nb = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 4))
+            ba, bb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(len(na), BITS // 64) for i in (3, 5))
+            ok = _most(na, ba, nb, bb) >= _required(na, nb, percent)
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(ok, pa.bool_())) for i in (0, 1)], ["a", "b"])
+
+    left = bits.select(F.col("set_key").alias("a"), F.col("n_shingles").alias("na"), F.col("bits").alias("ba"))
+    right = bits.select(F.col("set_key").alias("b"), F.col("n_shingles").alias("nb"), F.col("bits").alias("bb"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "ba", "nb", "bb").mapInArrow(run, "a long, b long")
+
+
+def _most(na, ba, nb, bb) -> np.ndarray:
+    """Greatest overlap of two sets that the marked cells of either leave possible."""
+    return np.minimum(na - np.bitwise_count(ba & ~bb).sum(1), nb - np.bitwise_count(bb & ~ba).sum(1))
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets link, compared exactly."""
 
@@ -312,7 +332,7 @@ def open_pairs(units: DataFrame, percent: int, nearest: bool) -> DataFrame:
                 ok = (comp[i] != comp[j]) & _may_link(n[i], pos[i], n[j], pos[j], percent)
                 i, j = i[ok], j[ok]
                 need = _required(n[i], n[j], percent)
-                most = np.minimum(n[i] - np.bitwise_count(bits[i] & ~bits[j]).sum(1), n[j] - np.bitwise_count(bits[j] & ~bits[i]).sum(1))
+                most = _most(n[i], bits[i], n[j], bits[j])
                 ok = most >= need
                 i, j, most = i[ok], j[ok], most[ok]
                 near = most / (n[i] + n[j] - most)
@@ -350,11 +370,14 @@ def open_pairs(units: DataFrame, percent: int, nearest: bool) -> DataFrame:
 
 
 def _open_rows(met: DataFrame, roots: DataFrame) -> DataFrame:
-    """token, set_key, n, pos, comp, members: the postings of the lists that reach over components."""
+    """token, set_key, n, pos, comp, members: the postings of the lists that reach over components.
+
+    A list of two has no pair but the one with its least member.
+    """
     rows = met.select("token", "set_key", "n", "pos").join(roots.withColumnRenamed("node", "set_key"), "set_key", "left")
     rows = written(rows.select("token", "set_key", "n", "pos", F.coalesce("root", "set_key").alias("comp")), "rows")
     sizes = rows.groupBy("token").agg(F.count("*").alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    sizes = written(sizes.where("lo <> hi").select("token", "members"), "lists")
+    sizes = written(sizes.where("lo <> hi and members > 2").select("token", "members"), "lists")
     return written(rows.join(sizes, "token"), "open")
 
 
@@ -379,16 +402,16 @@ def linked_classes(sets: DataFrame, percent: int = PERCENT, block: int = BLOCK,
     release(spark)
     among = spark.sparkContext.broadcast(key_filter(several))
     met = written(postings(sets, levels, percent, among).join(several, "token").distinct(), "met")
-    heads = met.groupBy("token").agg(F.min(F.struct("set_key", "n", "pos")).alias("head"))
-    pairs = written(star_pairs(met.join(written(heads, "heads"), "token"), percent), "pairs")
+    heads = met.groupBy("token").agg(F.min(F.struct("set_key", "n", "pos")).alias("head"), F.max("set_key").alias("last")).where("head.set_key <> last")
+    bits = written(sets.where("bits is not null").select("set_key", "n_shingles", "bits").dropDuplicates(["set_key"]), "bits")
+    pairs = written(star_pairs(met.join(written(heads.drop("last"), "heads"), "token"), percent), "stars")
+    pairs = written(plausible(pairs, bits, percent), "pairs")
     tried, links, roots = pairs, None, None
     turn = 0
     while turn <= rounds + 1:
         if turn:
             met = _open_rows(met, roots)
-            bits = sets.where("bits is not null").select("set_key", "bits").dropDuplicates(["set_key"])
-            bits = written(bits.join(met.select("set_key").distinct(), "set_key", "left_semi"), "bits")
-            pairs = written(open_pairs(_units(met.join(bits, "set_key"), block), percent, turn <= rounds).join(tried, ["a", "b"], "left_anti"), "pairs")
+            pairs = written(open_pairs(_units(met.join(bits.select("set_key", "bits"), "set_key"), block), percent, turn <= rounds).join(tried, ["a", "b"], "left_anti"), "pairs")
             tried = tried.unionByName(pairs)
             if pairs.isEmpty():
                 turn = rounds + 1 if turn <= rounds else rounds + 2
