@@ -1,6 +1,6 @@
 """N-gram Jaccard self-join: exact links between texts, and the classes they form.
 
-1. Every whole text becomes the set of its 4-word shingles (64-bit hashes). Equal sets form one class; a
+1. Every whole text becomes the set of its 4-word shingles (48-bit hashes once it is counted). Equal sets form one class; a
    class is known by a hash of its set, so copies cost nothing further on.
 2. A sketch counts all shingles of all classes in ``CELLS`` cells. Shingles are ordered rare first by the
    level of their cell, then by hash. The order decides only speed; links don't depend on it.
@@ -42,6 +42,7 @@ BITS = 1024
 WORD_GRAM = 4
 PERCENT = 85
 ROUNDS = 1
+BROADCAST_PAIRS = 500_000
 
 
 def shingle_sets(column: pa.Array, n: int = WORD_GRAM, lower: bool = True) -> list[np.ndarray]:
@@ -84,8 +85,8 @@ def sets_of(docs: DataFrame, n: int = WORD_GRAM) -> DataFrame:
                     sizes.append(len(s))
                     keys.append(key)
                     known = key is None or key in seen
-                    tokens.append(None if known else s.tobytes())
-                    bits.append(None if known else _bits(s))
+                    tokens.append(None if known else pack(s))
+                    bits.append(None if known else _bits(s >> np.uint64(16)))
                     seen.add(key)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[lo:hi], batch.column(1)[lo:hi], pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(tokens, pa.binary()), pa.array(bits, pa.binary())],
@@ -95,8 +96,21 @@ def sets_of(docs: DataFrame, n: int = WORD_GRAM) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text").mapInArrow(run, "doc_id long, mark long, n_shingles long, set_key long, tokens binary, bits binary")
 
 
+def pack(tokens: np.ndarray) -> bytes:
+    """The upper 48 bits of sorted 64-bit hashes, six bytes each."""
+    short = np.unique(tokens >> np.uint64(16)).astype("<u8")
+    return short.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
 def _arrays(column) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
+    """Sorted 48-bit hashes of each packed set."""
+    out = []
+    for x in column:
+        raw = np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, 6)
+        wide = np.zeros((len(raw), 8), np.uint8)
+        wide[:, :6] = raw
+        out.append(wide.view("<u8").reshape(-1))
+    return out
 
 
 def cell_levels(sets: DataFrame) -> np.ndarray:
@@ -250,31 +264,42 @@ def _may_hold(held: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return ok
 
 
-def only(sets: DataFrame, keys: DataFrame) -> DataFrame:
-    """One (set_key, tokens) row for each of the keys. A Bloom filter keeps most other sets out of the shuffle."""
-    held = sets.sparkSession.sparkContext.broadcast(key_filter(keys))
+def _held(key: str, holder: str) -> F.Column:
+    return F.xxhash64(key, F.coalesce(holder, F.lit(0)))
+
+
+def tokens_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(set_key, tokens) of the sets named in pairs (a, b, ha, hb), written without a shuffle.
+
+    ha and hb are the least doc_id that holds the set's tokens, so of copies one row is taken. A Bloom
+    filter picks the rows; what it passes by mistake finds no partner, or repeats a pair.
+    """
+    names = pairs.select(_held("a", "ha").alias("x")).unionByName(pairs.select(_held("b", "hb").alias("x")))
+    held = sets.sparkSession.sparkContext.broadcast(key_filter(names))
 
     def sift(batches):
         for batch in batches:
-            yield batch.filter(pa.array(_may_hold(held.value, batch.column(0).to_numpy(zero_copy_only=False)), pa.bool_()))
+            kept = batch.filter(pa.array(_may_hold(held.value, batch.column(2).to_numpy(zero_copy_only=False)), pa.bool_()))
+            yield kept.select(["set_key", "tokens"])
 
-    near = sets.where("tokens is not null").select("set_key", "tokens").mapInArrow(sift, "set_key long, tokens binary")
-    return near.join(keys.distinct(), "set_key", "left_semi").dropDuplicates(["set_key"])
+    near = sets.where("tokens is not null").select("set_key", "tokens", _held("set_key", "doc_id").alias("x"))
+    return written(near.mapInArrow(sift, "set_key long, tokens binary"), "tokens")
 
 
 def plausible(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that the suffix filter doesn't exclude; bits: set_key, n_shingles, bits."""
+    """The pairs (a, b) that the suffix filter doesn't exclude, with ha, hb; bits: set_key, n_shingles, bits, holder."""
 
     def run(batches):
         for batch in batches:
             na, nb = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 4))
             ba, bb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(len(na), BITS // 64) for i in (3, 5))
             ok = _most(na, ba, nb, bb) >= _required(na, nb, percent)
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(ok, pa.bool_())) for i in (0, 1)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(ok, pa.bool_())) for i in (0, 1, 6, 7)], ["a", "b", "ha", "hb"])
 
-    left = bits.select(F.col("set_key").alias("a"), F.col("n_shingles").alias("na"), F.col("bits").alias("ba"))
-    right = bits.select(F.col("set_key").alias("b"), F.col("n_shingles").alias("nb"), F.col("bits").alias("bb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "ba", "nb", "bb").mapInArrow(run, "a long, b long")
+    left = bits.select(F.col("set_key").alias("a"), F.col("n_shingles").alias("na"), F.col("bits").alias("ba"), F.col("holder").alias("ha"))
+    right = bits.select(F.col("set_key").alias("b"), F.col("n_shingles").alias("nb"), F.col("bits").alias("bb"), F.col("holder").alias("hb"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "ba", "nb", "bb", "ha", "hb")
+    return both.mapInArrow(run, "a long, b long, ha long, hb long")
 
 
 def _most(na, ba, nb, bb) -> np.ndarray:
@@ -282,8 +307,8 @@ def _most(na, ba, nb, bb) -> np.ndarray:
     return np.minimum(na - np.bitwise_count(ba & ~bb).sum(1), nb - np.bitwise_count(bb & ~ba).sum(1))
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link, compared exactly."""
+def confirmed(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets link, compared exactly. pairs is broadcast only while it is short."""
 
     def run(batches):
         for batch in batches:
@@ -297,9 +322,11 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 ok.append(100 * same >= percent * (len(x) + len(y) - same))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok, pa.bool_())), batch.column(1).filter(pa.array(ok, pa.bool_()))], ["a", "b"])
 
-    left = sets.select(F.col("set_key").alias("b"), F.col("tokens").alias("tb"))
-    right = sets.select(F.col("set_key").alias("a"), F.col("tokens").alias("ta"))
-    both = pairs.select("a", "b").join(left, "b").join(right, "a").select("a", "b", "ta", "tb")
+    left = tokens.select(F.col("set_key").alias("b"), F.col("tokens").alias("tb"))
+    right = tokens.select(F.col("set_key").alias("a"), F.col("tokens").alias("ta"))
+    named = pairs.select("a", "b")
+    named = F.broadcast(named) if pairs.count() <= BROADCAST_PAIRS else named
+    both = left.join(named, "b").join(right, "a").select("a", "b", "ta", "tb")
     return both.mapInArrow(run, "a long, b long")
 
 
@@ -370,14 +397,11 @@ def open_pairs(units: DataFrame, percent: int, nearest: bool) -> DataFrame:
 
 
 def _open_rows(met: DataFrame, roots: DataFrame) -> DataFrame:
-    """token, set_key, n, pos, comp, members: the postings of the lists that reach over components.
-
-    A list of two has no pair but the one with its least member.
-    """
+    """token, set_key, n, pos, comp, members: the postings of the lists that reach over components."""
     rows = met.select("token", "set_key", "n", "pos").join(roots.withColumnRenamed("node", "set_key"), "set_key", "left")
     rows = written(rows.select("token", "set_key", "n", "pos", F.coalesce("root", "set_key").alias("comp")), "rows")
     sizes = rows.groupBy("token").agg(F.count("*").alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    sizes = written(sizes.where("lo <> hi and members > 2").select("token", "members"), "lists")
+    sizes = written(sizes.where("lo <> hi").select("token", "members"), "lists")
     return written(rows.join(sizes, "token"), "open")
 
 
@@ -402,23 +426,27 @@ def linked_classes(sets: DataFrame, percent: int = PERCENT, block: int = BLOCK,
     release(spark)
     among = spark.sparkContext.broadcast(key_filter(several))
     met = written(postings(sets, levels, percent, among).join(several, "token").distinct(), "met")
-    heads = met.groupBy("token").agg(F.min(F.struct("set_key", "n", "pos")).alias("head"), F.max("set_key").alias("last")).where("head.set_key <> last")
-    bits = written(sets.where("bits is not null").select("set_key", "n_shingles", "bits").dropDuplicates(["set_key"]), "bits")
-    pairs = written(star_pairs(met.join(written(heads.drop("last"), "heads"), "token"), percent), "stars")
-    pairs = written(plausible(pairs, bits, percent), "pairs")
-    tried, links, roots = pairs, None, None
+    heads = met.groupBy("token").agg(F.count("*").alias("members"), F.min(F.struct("set_key", "n", "pos")).alias("head")).where("members > 1")
+    met = written(met.join(written(heads, "heads"), "token"), "headed")
+    bits = sets.where("bits is not null").groupBy("set_key").agg(F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits"), F.min("doc_id").alias("holder"))
+    bits = written(bits, "bits")
+    pairs = written(plausible(star_pairs(met, percent), bits, percent), "pairs")
+    met = met.where("members > 2")  # a list of two has no other pair
+    tried, links, roots = pairs.select("a", "b"), None, None
     turn = 0
     while turn <= rounds + 1:
         if turn:
             met = _open_rows(met, roots)
-            pairs = written(open_pairs(_units(met.join(bits.select("set_key", "bits"), "set_key"), block), percent, turn <= rounds).join(tried, ["a", "b"], "left_anti"), "pairs")
-            tried = tried.unionByName(pairs)
+            found = open_pairs(_units(met.join(bits.select("set_key", "bits"), "set_key"), block), percent, turn <= rounds)
+            named = bits.select("set_key", "holder")
+            pairs = found.join(tried, ["a", "b"], "left_anti").join(named.toDF("a", "ha"), "a").join(named.toDF("b", "hb"), "b")
+            pairs = written(pairs.select("a", "b", "ha", "hb"), "pairs")
+            tried = tried.unionByName(pairs.select("a", "b"))
             if pairs.isEmpty():
                 turn = rounds + 1 if turn <= rounds else rounds + 2
                 continue
         release(spark)
-        tokens = written(only(sets, pairs.select(F.explode(F.array("a", "b")).alias("set_key"))), "tokens")
-        found = written(confirmed(pairs, tokens, percent), "links")
+        found = written(confirmed(pairs, tokens_of(pairs, sets), percent), "links")
         links = found if links is None else links.unionByName(found)
         roots = components(links)
         release(spark)
