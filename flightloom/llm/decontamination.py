@@ -72,7 +72,7 @@ def items_of(benchmark: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 def hits(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, radius: int = RADIUS) -> DataFrame:
     """doc_id, mark, item_id, similarity (best), windows: every item found in every whole text."""
-    items = written(items_of(benchmark, shingle), "items")
+    items = written(items_of(benchmark, shingle).withColumn("item_print", simhash(F.col("item_words"))), "items")
     sizes = [r["k"] for r in items.select("k").distinct().collect()]  # at most five
     volume = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     seeds = items.select("n", "k", F.posexplode("item_hashes").alias("offset", "h")).distinct()
@@ -86,10 +86,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, percent:
         return docs.sparkSession.createDataFrame([], "doc_id long, mark long, item_id long, similarity double, windows long")
     start = F.greatest(F.lit(0), F.least(F.col("at") - F.col("offset"), F.size("words") - F.col("n")))
     windows = met.select("doc_id", "mark", "n", start.alias("start"), F.concat_ws(" ", F.slice("words", start + 1, F.col("n"))).alias("window")).distinct()
-    windows = written(windows, "windows")
-    windows = windows.withColumn("words", F.split("window", " ")).withColumn("print", simhash(F.col("words")))
+    # Written with their fingerprints, which many expressions below refer to.
+    windows = written(windows.withColumn("words", F.split("window", " ")).withColumn("print", simhash(F.col("words"))).drop("window"), "windows")
     left = windows.select("doc_id", "mark", "n", "start", "words", "print", F.explode(_blocks(F.col("print"), radius)).alias("b")).select("*", "b.block", "b.bits").drop("b")
-    right = items.withColumn("item_print", simhash(F.col("item_words"))).select("item_id", "n", "k", "item_hashes", "item_print", F.explode(_blocks(F.col("item_print"), radius)).alias("b")).select("*", "b.block", "b.bits").drop("b")
+    right = items.select("item_id", "n", "k", "item_hashes", "item_print", F.explode(_blocks(F.col("item_print"), radius)).alias("b")).select("*", "b.block", "b.bits").drop("b")
     right = F.broadcast(right) if volume <= BROADCAST_BYTES else right
     near = left.join(right, ["n", "block", "bits"])
     apart = F.col("print").bitwiseXOR(F.col("item_print"))
@@ -100,9 +100,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, percent:
     mine = F.array().cast("array<bigint>")
     for k in sorted(sizes):
         mine = F.when(F.col("k") == k, _shingles(F.col("words"), k)).otherwise(mine)
-    a, b = _numbered(mine), _numbered(F.col("item_hashes"))
-    checked = near.withColumn("same", F.size(F.array_intersect(a, b))).withColumn("all", F.size(mine) + F.size("item_hashes") - F.col("same"))
-    checked = checked.where(F.col("same") * 100 >= F.col("all") * percent)
+    shared = lambda p: F.size(F.array_intersect(_numbered(p["a"]), _numbered(p["b"])))
+    once = F.transform(F.array(F.struct(mine.alias("a"), F.col("item_hashes").alias("b"))), lambda p: F.struct(shared(p).alias("same"), (F.size(p["a"]) + F.size(p["b"])).alias("both")))
+    checked = near.select("doc_id", "mark", "item_id", F.explode(once).alias("c"))
+    checked = checked.select("doc_id", "mark", "item_id", F.col("c.same").alias("same"), (F.col("c.both") - F.col("c.same")).alias("all")).where(F.col("same") * 100 >= F.col("all") * percent)
     return checked.groupBy("doc_id", "mark", "item_id").agg(F.max(F.col("same") / F.col("all")).alias("similarity"), F.count("*").alias("windows"))
 
 

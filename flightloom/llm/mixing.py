@@ -4,7 +4,8 @@ Sources weigh 1, 2, 3, repeating, in the order of their names, and share the wor
 source's target is above ``MAX_EPOCHS`` times its size, and what is over is shared again by weight. A source
 takes all its documents as often as its target holds them whole; for the rest its documents stand in the
 order of exponential keys, -ln(u) / quality weight, and are taken as long as the running sum of their
-words fits. Documents that still fit what is left are then taken in the same order, in ``PASSES`` passes.
+words fits. Documents that still fit what is left are then taken in the same order, in ``PASSES`` passes, and at
+last one that goes over, if the sum comes nearer to the target with it.
 
 The running sums are made in two steps, over ``BUCKETS`` ranges of the key within each source and then
 within a range, so no task holds a whole source.
@@ -102,6 +103,12 @@ def planned(docs: DataFrame, seed: int = SEED, weights: tuple[int, ...] = WEIGHT
         rows = written(_fitting(rows, buckets), "mix")
         spent = written(rows.where("now").groupBy("source").agg(F.sum("size").alias("spent")), "spent").withColumnRenamed("source", "s")
         rows = rows.join(spent, _same("source", "s"), "left").withColumn("budget", F.col("budget") - F.coalesce("spent", F.lit(0))).drop("s", "spent")
+    # What is left may be nearer to a document that is too long than to nothing; the nearest one is then taken.
+    near = rows.where(~F.col("picked") & (F.col("size") > 0) & (F.col("size") < 2 * F.col("budget")))
+    near = near.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("budget")).alias("off"), "key", "doc_id", "size")).alias("m"))
+    near = written(near.select(F.col("source").alias("s"), F.col("m.key").alias("k"), F.col("m.doc_id").alias("d"), F.col("m.size").alias("z")), "near")
+    rows = rows.join(near, _same("source", "s"), "left")
+    rows = rows.withColumn("picked", F.col("picked") | F.coalesce((F.col("key") == F.col("k")) & _same("doc_id", "d") & (F.col("size") == F.col("z")), F.lit(False)))
     times = F.when(F.col("size") > 0, F.col("epochs") + F.col("picked").cast("long")).otherwise(0)
     return rows.select("doc_id", "mark", "source", "size", "source_size", "target", times.alias("times"), (times * F.col("size")).alias("taken"))
 

@@ -296,6 +296,9 @@ def plausible(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
             ok = _most(na, ba, nb, bb) >= _required(na, nb, percent)
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(ok, pa.bool_())) for i in (0, 1, 6, 7)], ["a", "b", "ha", "hb"])
 
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct()
+    # Few keys are broadcast after they are counted, so that only their rows are dealt out.
+    bits = bits.join(F.broadcast(keys) if pairs.count() <= BROADCAST_PAIRS else keys, "set_key", "left_semi")
     left = bits.select(F.col("set_key").alias("a"), F.col("n_shingles").alias("na"), F.col("bits").alias("ba"), F.col("holder").alias("ha"))
     right = bits.select(F.col("set_key").alias("b"), F.col("n_shingles").alias("nb"), F.col("bits").alias("bb"), F.col("holder").alias("hb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "ba", "nb", "bb", "ha", "hb")
@@ -430,7 +433,7 @@ def linked_classes(sets: DataFrame, percent: int = PERCENT, block: int = BLOCK,
     met = written(met.join(written(heads, "heads"), "token"), "headed")
     bits = sets.where("bits is not null").groupBy("set_key").agg(F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits"), F.min("doc_id").alias("holder"))
     bits = written(bits, "bits")
-    pairs = written(plausible(star_pairs(met, percent), bits, percent), "pairs")
+    pairs = written(plausible(written(star_pairs(met, percent), "stars"), bits, percent), "pairs")
     met = met.where("members > 2")  # a list of two has no other pair
     tried, links, roots = pairs.select("a", "b"), None, None
     turn = 0

@@ -35,7 +35,7 @@ PATTERNS = {
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
-    "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
+    "card": r"(?<![0-9A-Za-z])(?:[0-9]{4}(?P<c>[ -])[0-9]{6}(?P=c)[0-9]{5}|(?:[0-9]{4}[ -]){3}[0-9]{4}|[0-9]{13,19})(?![0-9A-Za-z])",
 }
 FINDER = re.compile("|".join(f"(?P<{k}>{v})" for k, v in PATTERNS.items()))
 _HINT = re.compile(r"@|[0-9]{2}")

@@ -109,8 +109,11 @@ ORACLES = {
                SELECT *, NOT picked AND size <= budget AND sum(CASE WHEN NOT picked AND size <= budget THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) <= budget AS now FROM p0)),
         p2 AS (SELECT * EXCLUDE (now) REPLACE (picked OR now2 AS picked, budget - coalesce(sum(CASE WHEN now2 THEN size END) OVER (PARTITION BY source), 0) AS budget) FROM (
                SELECT *, NOT picked AND size <= budget AND sum(CASE WHEN NOT picked AND size <= budget THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) <= budget AS now2 FROM p1)),
-        p3 AS (SELECT *, picked OR (NOT picked AND size <= budget AND sum(CASE WHEN NOT picked AND size <= budget THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) <= budget) AS last FROM p2)
-        SELECT doc_id, size, source_size, target, (CASE WHEN size > 0 THEN (epochs + last::BIGINT) * size ELSE 0 END)::BIGINT AS taken FROM p3""",
+        p3 AS (SELECT * EXCLUDE (now3) REPLACE (picked OR now3 AS picked, budget - coalesce(sum(CASE WHEN now3 THEN size END) OVER (PARTITION BY source), 0) AS budget) FROM (
+               SELECT *, NOT picked AND size <= budget AND sum(CASE WHEN NOT picked AND size <= budget THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) <= budget AS now3 FROM p2)),
+        p4 AS (SELECT *, NOT picked AND size > 0 AND size < 2 * budget AS may FROM p3),
+        p5 AS (SELECT *, picked OR (may AND row_number() OVER (PARTITION BY source, may ORDER BY abs(size - budget), key, doc_id, size) = 1) AS last FROM p4)
+        SELECT doc_id, size, source_size, target, (CASE WHEN size > 0 THEN (epochs + last::BIGINT) * size ELSE 0 END)::BIGINT AS taken FROM p5""",
     "op10_ngram_jaccard": """
         WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
         s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+3], ' ') AS g FROM d, unnest(range(1, greatest(2, len(w) - 2))) AS t(i) WHERE len(w) > 0),
