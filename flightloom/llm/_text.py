@@ -6,6 +6,9 @@ memory of a task is bounded by the longest single text. Words are ``[^\\x20\\x09
 
 from __future__ import annotations
 
+import ctypes
+import functools
+
 import numpy as np
 import pyarrow as pa
 
@@ -128,3 +131,23 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     shift = np.repeat(starts - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
     return np.arange(total, dtype=np.int64) + shift
+
+
+def tidy(run):
+    """A function for mapInArrow or mapInPandas that gives its memory back to the system when its task ends.
+
+    Python workers stay for later tasks, beside the heap of their executor.
+    """
+
+    @functools.wraps(run)
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # not every C library has it
+                pass
+
+    return inner

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flightloom.llm._text import Scan, mix, pieces, strings
+from flightloom.llm._text import Scan, mix, pieces, strings, tidy
 
 ORDERS = (1, 2, 3, 4, 5)
 CELLS = 1 << 17
@@ -256,7 +256,7 @@ def labelled(docs: DataFrame, model: Model | None) -> DataFrame:
                 found, score = held.value.predict(text[lo:hi]) if held.value else ([UNKNOWN] * (hi - lo), np.zeros(hi - lo))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi].cast(pa.int64()), batch.column(1)[lo:hi], pa.array(found, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(tidy(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def trained(docs: DataFrame) -> Model | None:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flightloom.llm._io import release, written
-from flightloom.llm._text import Scan, grams, mix, pieces, ranges, strings
+from flightloom.llm._text import Scan, grams, mix, pieces, ranges, strings, tidy
 from flightloom.llm.components import components
 
 CELLS = 1 << 22
@@ -93,7 +93,7 @@ def sets_of(docs: DataFrame, n: int = WORD_GRAM) -> DataFrame:
                     ["doc_id", "mark", "n_shingles", "set_key", "tokens", "bits"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text").mapInArrow(run, "doc_id long, mark long, n_shingles long, set_key long, tokens binary, bits binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text").mapInArrow(tidy(run), "doc_id long, mark long, n_shingles long, set_key long, tokens binary, bits binary")
 
 
 def pack(tokens: np.ndarray) -> bytes:
@@ -137,9 +137,9 @@ def cell_levels(sets: DataFrame) -> np.ndarray:
             levels = [np.minimum(255, np.ceil(8 * np.log2(np.maximum(row, 1)))).astype(np.uint8).tobytes() for row in total.values()]
             yield pd.DataFrame({"chunk": list(total), "levels": levels})
 
-    parts = sets.where("tokens is not null").select("tokens").mapInArrow(count, "chunk int, counts binary")
+    parts = sets.where("tokens is not null").select("tokens").mapInArrow(tidy(count), "chunk int, counts binary")
     chunks = CELLS // CHUNK
-    summed = parts.repartition(chunks, "chunk").mapInPandas(add, "chunk int, levels binary")
+    summed = parts.repartition(chunks, "chunk").mapInPandas(tidy(add), "chunk int, levels binary")
     out = np.zeros((chunks, CHUNK), np.uint8)
     for row in summed.collect():  # CELLS bytes
         out[row["chunk"]] = np.frombuffer(row["levels"], np.uint8)
@@ -185,7 +185,7 @@ def postings(sets: DataFrame, levels, percent: int, among=None) -> DataFrame:
             if out_t:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([t.view(np.int64) for t in out_t], out_k, out_n, out_p)], ["token", "set_key", "n", "pos"])
 
-    return sets.where("tokens is not null").select("set_key", "tokens").mapInArrow(run, "token long, set_key long, n int, pos int")
+    return sets.where("tokens is not null").select("set_key", "tokens").mapInArrow(tidy(run), "token long, set_key long, n int, pos int")
 
 
 def _runs(frames):
@@ -247,7 +247,7 @@ def key_filter(keys: DataFrame) -> np.ndarray:
 
     chunks = CELLS * 8 // CHUNK
     out = np.zeros((chunks, CHUNK // 8), np.uint8)
-    for row in keys.mapInArrow(probe, "chunk int, at binary").repartition(min(64, chunks), "chunk").mapInPandas(merge, "chunk int, bits binary").collect():  # CELLS bytes
+    for row in keys.mapInArrow(tidy(probe), "chunk int, at binary").repartition(min(64, chunks), "chunk").mapInPandas(tidy(merge), "chunk int, bits binary").collect():  # CELLS bytes
         out[row["chunk"]] = np.frombuffer(row["bits"], np.uint8)
     return out.reshape(-1)
 
@@ -283,7 +283,7 @@ def tokens_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield kept.select(["set_key", "tokens"])
 
     near = sets.where("tokens is not null").select("set_key", "tokens", _held("set_key", "doc_id").alias("x"))
-    return written(near.mapInArrow(sift, "set_key long, tokens binary"), "tokens")
+    return written(near.mapInArrow(tidy(sift), "set_key long, tokens binary"), "tokens")
 
 
 def plausible(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
@@ -302,7 +302,7 @@ def plausible(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     left = bits.select(F.col("set_key").alias("a"), F.col("n_shingles").alias("na"), F.col("bits").alias("ba"), F.col("holder").alias("ha"))
     right = bits.select(F.col("set_key").alias("b"), F.col("n_shingles").alias("nb"), F.col("bits").alias("bb"), F.col("holder").alias("hb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "ba", "nb", "bb", "ha", "hb")
-    return both.mapInArrow(run, "a long, b long, ha long, hb long")
+    return both.mapInArrow(tidy(run), "a long, b long, ha long, hb long")
 
 
 def _most(na, ba, nb, bb) -> np.ndarray:
@@ -330,7 +330,7 @@ def confirmed(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     named = pairs.select("a", "b")
     named = F.broadcast(named) if pairs.count() <= BROADCAST_PAIRS else named
     both = left.join(named, "b").join(right, "a").select("a", "b", "ta", "tb")
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(tidy(run), "a long, b long")
 
 
 def _nearest(i, j, near, key) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -396,7 +396,7 @@ def open_pairs(units: DataFrame, percent: int, nearest: bool) -> DataFrame:
             yield pd.DataFrame({"a": np.minimum(key[i], key[j]), "b": np.maximum(key[i], key[j])}).drop_duplicates()
 
     units = units.select("unit", "set_key", "comp", "n", "pos", "side", "bits")
-    return units.repartition("unit").sortWithinPartitions("unit").mapInPandas(run, "a long, b long").distinct()
+    return units.repartition("unit").sortWithinPartitions("unit").mapInPandas(tidy(run), "a long, b long").distinct()
 
 
 def _open_rows(met: DataFrame, roots: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from flightloom.llm._text import pieces, strings
+from flightloom.llm._text import pieces, strings, tidy
 
 ROUNDS = 10
 KINDS = ("email", "iban", "date", "ip", "ssn", "phone", "card")
@@ -223,4 +223,4 @@ def pseudonymised(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
                 counts = list(zip(*(c for _, c in got)))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi].cast(pa.int64()), pa.array([t for t, _ in got], pa.string()), *(pa.array(c, pa.int64()) for c in counts)], ["doc_id", "text", *(f"n_{k}" for k in KINDS)])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text string, " + ", ".join(f"n_{k} long" for k in KINDS))
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, text string, " + ", ".join(f"n_{k} long" for k in KINDS))

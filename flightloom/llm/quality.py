@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flightloom.llm._io import written
-from flightloom.llm._text import _SPACE, Scan, grams, pieces, ranges, strings
+from flightloom.llm._text import Scan, _SPACE, grams, pieces, ranges, strings, tidy
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
@@ -77,7 +77,7 @@ def counted(docs: DataFrame, host: str = "source") -> DataFrame:
                 got = measure(text[lo:hi])
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(1)[lo:hi].cast(pa.string()), *(pa.array(got[k]) for k in COUNTS)], ["doc_id", "host", *COUNTS])
 
-    return docs.select("doc_id", F.col(host).cast("string").alias("host"), "text").mapInArrow(run, "doc_id long, host string, " + ", ".join(f"{k} long" for k in COUNTS))
+    return docs.select("doc_id", F.col(host).cast("string").alias("host"), "text").mapInArrow(tidy(run), "doc_id long, host string, " + ", ".join(f"{k} long" for k in COUNTS))
 
 
 def base_failed() -> F.Column:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flightloom.llm._io import new_folder, written
-from flightloom.llm._text import _SPACE, Scan, pieces, ranges, strings
+from flightloom.llm._text import Scan, _SPACE, pieces, ranges, strings, tidy
 
 BLOCK = 64 << 10
 END_ID = 2
@@ -302,7 +302,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
                 packed = [pack_ids(np.append(x, np.uint32(end_id))) for x in encoder.encode(text[lo:hi])]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(packed, pa.binary())], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, ids binary")
 
 
 def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, shard_bytes: int = SHARD_BYTES, end_id: int = END_ID) -> DataFrame:
@@ -349,7 +349,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, sha
         if writer:
             yield finish()
 
-    done = dealt.sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids").select("doc_id", "ids", "shard").mapInArrow(save, "shard int, path string, entries long, n_ids long")
+    done = dealt.sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids").select("doc_id", "ids", "shard").mapInArrow(tidy(save), "shard int, path string, entries long, n_ids long")
     return written(done, "manifest").withColumn("folder", F.lit(folder))
 
 
@@ -382,7 +382,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     listed = spark.createDataFrame(jobs, "folder string, path string, start long").repartition(len(jobs), "path")
-    return listed.mapInArrow(load, schema)
+    return listed.mapInArrow(tidy(load), schema)
 
 
 def default_tokenizer() -> str:

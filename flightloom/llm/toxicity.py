@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flightloom.llm._text import pieces, strings
+from flightloom.llm._text import pieces, strings, tidy
 
 ORDERS = (4, 5, 6)
 CELLS = 1 << 20
@@ -92,11 +92,12 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return Model(blank, np.log(max(share, 1e-13) / max(1 - share, 1e-13)))
-    found = [features(x) for x in texts]
-    rows = np.repeat(np.arange(len(found)), [len(x) for x in found])
-    cells = np.concatenate(found)
-    seen = np.bincount(cells, minlength=CELLS)
-    toxic = np.bincount(cells, y[rows], CELLS)
+    # Two passes over the sample, so that only the chosen features of all its texts are held at once.
+    seen, toxic = np.zeros(CELLS), np.zeros(CELLS)
+    for text, label in zip(texts, y):
+        cells = features(text)
+        seen[cells] += 1
+        toxic[cells] += label
     p, q = SMOOTH + toxic, SMOOTH + seen - toxic
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
     ratio -= np.log((SMOOTH + y.sum()) / p.sum()) - np.log((SMOOTH + len(y) - y.sum()) / q.sum())  # per document
@@ -105,9 +106,11 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     chosen = chosen[weight[chosen] > 0]
     place = np.full(CELLS, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
-    kept = place[cells] >= 0
-    rows, cols = rows[kept], place[cells[kept]]
-    values = ratio[chosen][cols]
+    kept = [(at := place[features(x)])[at >= 0] for x in texts]
+    rows = np.repeat(np.arange(len(kept), dtype=np.int32), [len(x) for x in kept])
+    cols = np.concatenate(kept)
+    del kept
+    values = ratio[chosen].astype(np.float32)[cols]
     balance = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
     w, bias = np.full(len(chosen), 0.02), 0.0
     m, v, t = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1), 0
@@ -152,7 +155,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 score = held.value.scores(text[lo:hi].to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi].cast(pa.int64()), batch.column(1)[lo:hi], pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select("doc_id", held_out(5, 0).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select("doc_id", held_out(5, 0).alias("held_out"), "text").mapInArrow(tidy(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> Model:
@@ -171,4 +174,4 @@ def filtered(docs: DataFrame, model: Model) -> DataFrame:
             for lo, hi in pieces(text):
                 yield batch.slice(lo, hi - lo).filter(pa.array(held.value.scores(text[lo:hi].to_pylist()) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flightloom.llm._io import new_folder, written
+from flightloom.llm._text import tidy
 
 MIN_REVISIT = 100
 CHUNK = 64 << 10
@@ -180,7 +181,7 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
             system.move(f"{root}/_part-{name}", f"{root}/{name}.warc.gz")
             yield pa.RecordBatch.from_arrays([pa.array([f"{name}.warc.gz"]), pa.array([n], pa.int64())], ["path", "records"])
 
-    saved = with_revisits(pages).mapInArrow(save, "path string, records long")
+    saved = with_revisits(pages).mapInArrow(tidy(save), "path string, records long")
     return written(saved, "archives").withColumn("folder", F.lit(folder))
 
 
@@ -202,7 +203,7 @@ def read_archives(archives: DataFrame, files: int = 64) -> DataFrame:
                             rows = []
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in zip(keys, kinds)], keys)
 
-    return archives.select("folder", "path").repartition(files).mapInArrow(load, SCHEMA)
+    return archives.select("folder", "path").repartition(files).mapInArrow(tidy(load), SCHEMA)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
