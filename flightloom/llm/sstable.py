@@ -194,7 +194,7 @@ class Encoder:
     what may be a special token are encoded whole. At most ``KEEP`` words are remembered.
     """
 
-    KEEP = 3_000_000
+    KEEP = 2_000_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -204,8 +204,8 @@ class Encoder:
 
     def _forget(self) -> None:
         self.known = np.zeros(0, np.uint64)  # sorted hashes of words
-        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)  # where their ids lie
-        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.begin, self.size = np.zeros(0, np.uint32), np.zeros(0, np.uint32)  # where their ids lie
+        self.ids, self.used = np.zeros(1 << 16, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32), 0
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -219,7 +219,7 @@ class Encoder:
         edges = np.cumsum([len(w.decode()) for w in words])
         sizes = np.bincount(np.searchsorted(edges, begins, "right"), minlength=len(words))
         while self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) // 2, self.ids.dtype)])
         self.ids[self.used : self.used + len(ids)] = ids
         at = np.searchsorted(self.known, keys)
         self.known = np.insert(self.known, at, keys)
@@ -263,12 +263,13 @@ class Encoder:
             place = np.searchsorted(self.known, keys)
         which = place[back]
         counts = np.zeros(len(starts), np.int64)
-        counts[~lead] = self.size[which] if len(which) else 0
+        sizes = self.size[which].astype(np.int64) if len(which) else np.zeros(0, np.int64)
+        counts[~lead] = sizes
         counts[lead] = [len(h) for h in heads]
         goal = np.cumsum(counts) - counts
         parts = np.zeros(int(counts.sum()), np.uint32)
         if len(which):
-            parts[ranges(goal[~lead], counts[~lead])] = self.ids[ranges(self.begin[which], self.size[which])]
+            parts[ranges(goal[~lead], counts[~lead])] = self.ids[ranges(self.begin[which].astype(np.int64), sizes)]
         if heads:
             parts[ranges(goal[lead], counts[lead])] = np.concatenate(heads)
         edges = np.concatenate([[0], np.cumsum(np.bincount(scan.rows(starts), counts, n).astype(np.int64))])
