@@ -7,7 +7,8 @@
 3. Each class files its prefix in that order: two sets with Jaccard >= t must share a prefix shingle.
    Classes that meet are paired once, at the first shingle their prefixes share, subject to
    the length filter, the positional filter (both tails are too short for the missing overlap) and
-   the suffix filter (a bound on the symmetric difference from 1024 hashed cells of either set).
+   the suffix filter (a bound on the symmetric difference from 1024 hashed cells of either set). Sets too
+   large for 1024 cells to tell apart are filtered again by cells of at least twice their size.
 4. First every posting list links its members to its least member only. Links that an exact comparison
    confirms are merged into components. In ``ROUNDS`` further rounds each member of a list gives its
    nearest partner in another component; the last round gives every pair that is still in different
@@ -39,6 +40,7 @@ CHUNK = 1 << 16
 BLOCK = 4096
 PAIRS = 1 << 18
 BITS = 1024
+WIDEST = 1 << 22
 WORD_GRAM = 4
 PERCENT = 85
 ROUNDS = 1
@@ -72,14 +74,17 @@ def set_key(tokens: np.ndarray) -> int:
 
 
 def sets_of(docs: DataFrame, n: int = WORD_GRAM) -> DataFrame:
-    """doc_id, mark, n_shingles, set_key, tokens, bits; the last two are null where this task has given that set before."""
+    """doc_id, mark, n_shingles, set_key, tokens, bits, wide; the last three are null where this task has given that set before.
+
+    wide: the cells of a set of more than BITS / 2 shingles; null for others.
+    """
 
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
             text = strings(batch.column(2))
             for lo, hi in pieces(text):
-                sizes, keys, tokens, bits = [], [], [], []
+                sizes, keys, tokens, bits, wide = [], [], [], [], []
                 for s in shingle_sets(text[lo:hi], n):
                     key = set_key(s) if len(s) else None
                     sizes.append(len(s))
@@ -87,13 +92,14 @@ def sets_of(docs: DataFrame, n: int = WORD_GRAM) -> DataFrame:
                     known = key is None or key in seen
                     tokens.append(None if known else pack(s))
                     bits.append(None if known else _bits(s >> np.uint64(16)))
+                    wide.append(None if known or 2 * len(s) <= BITS else _bits(s >> np.uint64(16), width(len(s))))
                     seen.add(key)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[lo:hi], batch.column(1)[lo:hi], pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(tokens, pa.binary()), pa.array(bits, pa.binary())],
-                    ["doc_id", "mark", "n_shingles", "set_key", "tokens", "bits"],
+                    [batch.column(0)[lo:hi], batch.column(1)[lo:hi], pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(tokens, pa.binary()), pa.array(bits, pa.binary()), pa.array(wide, pa.binary())],
+                    ["doc_id", "mark", "n_shingles", "set_key", "tokens", "bits", "wide"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text").mapInArrow(tidy(run), "doc_id long, mark long, n_shingles long, set_key long, tokens binary, bits binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text").mapInArrow(tidy(run), "doc_id long, mark long, n_shingles long, set_key long, tokens binary, bits binary, wide binary")
 
 
 def pack(tokens: np.ndarray) -> bytes:
@@ -150,9 +156,14 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (n * percent + 99) // 100 + 1
 
 
-def _bits(tokens: np.ndarray) -> bytes:
-    at = ((mix(tokens) >> np.uint64(40)) & np.uint64(BITS - 1)).astype(np.int64)
-    flags = np.zeros(BITS, np.uint8)
+def width(n: int) -> int:
+    """Cells for a set of n: the power of two from twice its size on."""
+    return min(WIDEST, max(BITS, 1 << (2 * n - 1).bit_length()))
+
+
+def _bits(tokens: np.ndarray, cells: int = BITS) -> bytes:
+    at = ((mix(tokens) >> np.uint64(40)) & np.uint64(cells - 1)).astype(np.int64)
+    flags = np.zeros(cells, np.uint8)
     flags[at] = 1
     return np.packbits(flags).tobytes()
 
@@ -268,8 +279,8 @@ def _held(key: str, holder: str) -> F.Column:
     return F.xxhash64(key, F.coalesce(holder, F.lit(0)))
 
 
-def tokens_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(set_key, tokens) of the sets named in pairs (a, b, ha, hb), written without a shuffle.
+def held_by(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """(set_key, column) of the sets named in pairs (a, b, ha, hb), written without a shuffle; column: tokens or wide.
 
     ha and hb are the least doc_id that holds the set's tokens, so of copies one row is taken. A Bloom
     filter picks the rows; what it passes by mistake finds no partner, or repeats a pair.
@@ -280,10 +291,10 @@ def tokens_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def sift(batches):
         for batch in batches:
             kept = batch.filter(pa.array(_may_hold(held.value, batch.column(2).to_numpy(zero_copy_only=False)), pa.bool_()))
-            yield kept.select(["set_key", "tokens"])
+            yield kept.select(["set_key", column])
 
-    near = sets.where("tokens is not null").select("set_key", "tokens", _held("set_key", "doc_id").alias("x"))
-    return written(near.mapInArrow(tidy(sift), "set_key long, tokens binary"), "tokens")
+    near = sets.where(F.col(column).isNotNull()).select("set_key", column, _held("set_key", "doc_id").alias("x"))
+    return written(near.mapInArrow(tidy(sift), f"set_key long, {column} binary"), column)
 
 
 def plausible(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
@@ -305,13 +316,54 @@ def plausible(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(tidy(run), "a long, b long, ha long, hb long")
 
 
+def sharpened(pairs: DataFrame, sets: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, ha, hb) that the wide cells don't exclude; pairs with a small set all stay.
+
+    A pair takes at most a twelfth of the bytes here that its tokens would take.
+    """
+    large = bits.where(F.col("n_shingles") * 2 > BITS).select("set_key", F.col("n_shingles").alias("n"))
+    sized = pairs.join(large.toDF("a", "na"), "a", "left").join(large.toDF("b", "nb"), "b", "left")
+    sized = written(sized.select("a", "b", "ha", "hb", "na", "nb"), "sized")
+    both = sized.where("na is not null and nb is not null")
+    if both.isEmpty():
+        return pairs
+
+    def near(x: memoryview, y: memoryview, na: int, nb: int) -> bool:
+        x, y = (np.frombuffer(v, np.uint64) for v in (x, y))
+        cells = min(len(x), len(y))
+        x, y = (np.bitwise_or.reduce(v.reshape(-1, cells), 0) for v in (x, y))
+        most = min(na - int(np.bitwise_count(x & ~y).sum()), nb - int(np.bitwise_count(y & ~x).sum()))
+        return most >= -((-percent * (na + nb)) // (100 + percent))
+
+    def run(batches):
+        for batch in batches:
+            rows = zip(*(batch.column(i) for i in range(4, 8)))
+            ok = [near(x.as_buffer(), y.as_buffer(), na.as_py(), nb.as_py()) for na, nb, x, y in rows]
+            yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b", "ha", "hb"])
+
+    few = together(both, held_by(both, sets, "wide"), "wide")
+    few = few.select("a", "b", "ha", "hb", "na", "nb", "left", "right").mapInArrow(tidy(run), "a long, b long, ha long, hb long")
+    return written(sized.where("na is null or nb is null").select("a", "b", "ha", "hb").unionByName(few), "sharp")
+
+
+def together(pairs: DataFrame, held: DataFrame, column: str) -> DataFrame:
+    """pairs with the column of a as left and that of b as right. pairs is broadcast only while it is short."""
+    few = pairs.count() <= BROADCAST_PAIRS
+    named, firsts = pairs, pairs.select("a").distinct()
+    right = held.select(F.col("set_key").alias("b"), F.col(column).alias("right")).join(F.broadcast(named) if few else named, "b")
+    left = held.select(F.col("set_key").alias("a"), F.col(column).alias("left"))
+    if few:  # only rows that some pair names first are dealt out
+        left = left.join(F.broadcast(firsts), "a", "left_semi")
+    return right.join(left, "a")
+
+
 def _most(na, ba, nb, bb) -> np.ndarray:
     """Greatest overlap of two sets that the marked cells of either leave possible."""
     return np.minimum(na - np.bitwise_count(ba & ~bb).sum(1), nb - np.bitwise_count(bb & ~ba).sum(1))
 
 
 def confirmed(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link, compared exactly. pairs is broadcast only while it is short."""
+    """The pairs (a, b) whose sets link, compared exactly."""
 
     def run(batches):
         for batch in batches:
@@ -325,11 +377,7 @@ def confirmed(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
                 ok.append(100 * same >= percent * (len(x) + len(y) - same))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok, pa.bool_())), batch.column(1).filter(pa.array(ok, pa.bool_()))], ["a", "b"])
 
-    left = tokens.select(F.col("set_key").alias("b"), F.col("tokens").alias("tb"))
-    right = tokens.select(F.col("set_key").alias("a"), F.col("tokens").alias("ta"))
-    named = pairs.select("a", "b")
-    named = F.broadcast(named) if pairs.count() <= BROADCAST_PAIRS else named
-    both = left.join(named, "b").join(right, "a").select("a", "b", "ta", "tb")
+    both = together(pairs.select("a", "b"), tokens, "tokens").select("a", "b", "left", "right")
     return both.mapInArrow(tidy(run), "a long, b long")
 
 
@@ -449,7 +497,8 @@ def linked_classes(sets: DataFrame, percent: int = PERCENT, block: int = BLOCK,
                 turn = rounds + 1 if turn <= rounds else rounds + 2
                 continue
         release(spark)
-        found = written(confirmed(pairs, tokens_of(pairs, sets), percent), "links")
+        pairs = sharpened(pairs, sets, bits, percent)
+        found = written(confirmed(pairs, held_by(pairs, sets, "tokens"), percent), "links")
         links = found if links is None else links.unionByName(found)
         roots = components(links)
         release(spark)

@@ -327,6 +327,22 @@ def test_ngram_join(spark, block=16):
     assert sorted(map(str, map(sorted, ({x for x in g if x is not None} for g in groups.values())))) == sorted(map(str, map(sorted, ({x for x in g if x is not None} for g in want.values()))))
 
 
+def test_wide_cells_keep_every_link(spark):
+    rng = random.Random(8)
+    made = []
+    for g in range(4):
+        shared = [f"s{i}" for i in range(60)]  # a passage that groups share, so that unlike texts meet
+        base = shared + [f"g{g}w{i}" for i in range(600 + 500 * g)]
+        for i, changed in enumerate((0, 1, 5, 20, 24, 27, 30, 60)):
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), changed * len(copy) // 660):
+                copy[at] = f"x{g}.{i}.{at}"
+            made.append((10 * g + i, " ".join(copy)))
+    assert ngram_join.width(512) == 1024 and ngram_join.width(513) == 2048
+    got = ngram_join.classes(spark.createDataFrame(made, "doc_id long, text string"))
+    assert sorted(rows(got)) == sorted(brute_components(made))
+
+
 def test_ngram_classes(spark, odd, none, docs):
     held = [(r.doc_id, r.text) for r in odd.collect()]
     assert sorted(rows(ngram_join.classes(odd)), key=str) == sorted(brute_components(held), key=str)
