@@ -195,6 +195,7 @@ class Encoder:
     """
 
     KEEP = 2_000_000
+    SLICE = 8_192
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -212,12 +213,15 @@ class Encoder:
 
     def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
         """Encodes words that each begin with their space; keys are sorted and not known yet."""
-        joined = b"".join(words).decode()
-        encoded = self.tokenizer.encode(joined, add_special_tokens=False)
-        ids = np.array(encoded.ids, np.uint32)
-        begins = np.array(encoded.offsets, np.int64).reshape(-1, 2)[:, 0]
-        edges = np.cumsum([len(w.decode()) for w in words])
-        sizes = np.bincount(np.searchsorted(edges, begins, "right"), minlength=len(words))
+        all_ids, all_sizes = [], []
+        for lo in range(0, len(words), self.SLICE):  # what the library returns takes much more room than the ids
+            part = words[lo : lo + self.SLICE]
+            encoded = self.tokenizer.encode(b"".join(part).decode(), add_special_tokens=False)
+            begins = np.array(encoded.offsets, np.int64).reshape(-1, 2)[:, 0]
+            edges = np.cumsum([len(w.decode()) for w in part])
+            all_ids.append(np.array(encoded.ids, np.uint32))
+            all_sizes.append(np.bincount(np.searchsorted(edges, begins, "right"), minlength=len(part)))
+        ids, sizes = np.concatenate(all_ids), np.concatenate(all_sizes)
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) // 2, self.ids.dtype)])
         self.ids[self.used : self.used + len(ids)] = ids
