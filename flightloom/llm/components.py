@@ -1,11 +1,41 @@
-"""Connected components of an edge table by alternating large-star and small-star steps."""
+"""Connected components of an edge table: edges are merged within each partition, then by large-star and small-star steps."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flightloom.llm._io import written
+from flightloom.llm._text import tidy
+
+#: Edges in a partition that is merged by one task.
+MERGED = 200_000
+
+
+def _merged(edges: DataFrame, parts: int) -> DataFrame:
+    """Each partition's edges as stars: every node of the partition with the least node it reaches there."""
+
+    def run(batches):
+        held = [batch for batch in batches if batch.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held).combine_chunks()
+        names, at = np.unique(np.concatenate([table.column(i).to_numpy() for i in (0, 1)]), return_inverse=True)
+        i, j = np.split(at, 2)
+        root = np.arange(len(names))
+        while (root[i] != root[j]).any():
+            least = np.minimum(root[i], root[j])
+            for end in (i, j):
+                np.minimum.at(root, root[end], least)
+            while (root[root] != root).any():
+                root = root[root]
+        inner = np.flatnonzero(root != np.arange(len(names)))
+        yield pa.RecordBatch.from_arrays([pa.array(names[inner]), pa.array(names[root[inner]])], ["a", "b"])
+
+    dealt = edges.coalesce(1) if parts == 1 else edges.repartition(parts)
+    return dealt.mapInArrow(tidy(run), edges.schema)
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -26,19 +56,27 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+def _stars(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, root (least node of its component) for every node of edges (a, b); a and b of one type.
 
     Null ends are dropped, loops and repeated edges don't matter, no edges give no rows. Each step is
-    written to the shared folder. It ends when a step changes nothing.
+    written to the shared folder. It ends when a step changes nothing, or once one task has merged all edges.
     """
     edges = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = written(edges, "edges")
+    parts = max(1, -(-edges.count() // MERGED))
+    edges = written(_merged(edges, parts), "merged")
     state = None
     for _ in range(rounds):
+        if parts == 1:
+            return _stars(edges)
         edges = written(_star(_star(edges, True), False), "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+            return _stars(edges)
         state = now
     raise RuntimeError("components did not settle")

@@ -282,10 +282,14 @@ def _held(key: str, holder: str) -> F.Column:
 def held_by(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
     """(set_key, column) of the sets named in pairs (a, b, ha, hb), written without a shuffle; column: tokens or wide.
 
-    ha and hb are the least doc_id that holds the set's tokens, so of copies one row is taken. A Bloom
-    filter picks the rows; what it passes by mistake finds no partner, or repeats a pair.
+    ha and hb are the least doc_id that holds the set's tokens, so of copies one row is taken. The names of few
+    pairs are broadcast after they are counted; else a Bloom filter picks the rows, and what it passes by
+    mistake finds no partner, or repeats a pair.
     """
     names = pairs.select(_held("a", "ha").alias("x")).unionByName(pairs.select(_held("b", "hb").alias("x")))
+    near = sets.where(F.col(column).isNotNull()).select("set_key", column, _held("set_key", "doc_id").alias("x"))
+    if pairs.count() <= BROADCAST_PAIRS:
+        return written(near.join(F.broadcast(names.distinct()), "x", "left_semi").select("set_key", column), column)
     held = sets.sparkSession.sparkContext.broadcast(key_filter(names))
 
     def sift(batches):
@@ -293,7 +297,6 @@ def held_by(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
             kept = batch.filter(pa.array(_may_hold(held.value, batch.column(2).to_numpy(zero_copy_only=False)), pa.bool_()))
             yield kept.select(["set_key", column])
 
-    near = sets.where(F.col(column).isNotNull()).select("set_key", column, _held("set_key", "doc_id").alias("x"))
     return written(near.mapInArrow(tidy(sift), f"set_key long, {column} binary"), column)
 
 
@@ -473,12 +476,12 @@ def linked_classes(sets: DataFrame, percent: int = PERCENT, block: int = BLOCK,
     """node, root: the components of all set keys that link with another (root: the least key)."""
     spark = sets.sparkSession
     levels = spark.sparkContext.broadcast(cell_levels(sets))
-    several = written(postings(sets, levels, percent).groupBy("token").agg(F.count("*").alias("members")).where("members > 1").select("token"), "several")
-    release(spark)
+    several = postings(sets, levels, percent).groupBy("token").agg(F.count("*").alias("members")).where("members > 1").select("token")
     among = spark.sparkContext.broadcast(key_filter(several))
-    met = written(postings(sets, levels, percent, among).join(several, "token").distinct(), "met")
+    release(spark)
+    met = written(postings(sets, levels, percent, among).distinct(), "met")
     heads = met.groupBy("token").agg(F.count("*").alias("members"), F.min(F.struct("set_key", "n", "pos")).alias("head")).where("members > 1")
-    met = written(met.join(written(heads, "heads"), "token"), "headed")
+    met = written(met.join(heads, "token"), "headed")  # drops lists of one, which the filter may have passed
     bits = sets.where("bits is not null").groupBy("set_key").agg(F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits"), F.min("doc_id").alias("holder"))
     bits = written(bits, "bits")
     pairs = written(plausible(written(star_pairs(met, percent), "stars"), bits, percent), "pairs")

@@ -312,7 +312,9 @@ def near_copies(n, seed=4):
     return out
 
 
-def test_ngram_join(spark, block=16):
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_ngram_join(spark, monkeypatch, few, block=16):
+    monkeypatch.setattr(ngram_join, "BROADCAST_PAIRS", few)
     made = near_copies(120) + [(1000 + i, f"short text {i % 3}") for i in range(6)] + [(2000, None), (2001, " "), (None, "short text 1")]
     frame = spark.createDataFrame(made, "doc_id long, text string")
     sets = ngram_join.written(ngram_join.sets_of(frame), "sets")
@@ -351,7 +353,9 @@ def test_ngram_classes(spark, odd, none, docs):
     assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, (1, 2, None, 3, 5, 6, 7, 8)))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("merged", [2, 200_000])
+def test_components(spark, monkeypatch, merged):
+    monkeypatch.setattr(components, "MERGED", merged)
     edges = [(1, 2), (2, 3), (3, 3), (9, 8), (8, 7), (7, 6), (6, 5), (2, 1), (None, 4)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 5: 5, 6: 5, 7: 5, 8: 5, 9: 5}
