@@ -385,6 +385,27 @@ def test_pipeline_by_stages(spark, docs):
     assert sorted(rows(P.run(spark, DIR))) == sorted(map(tuple, final))
 
 
+def test_pipeline_links_five_words(spark):
+    """The near_duplicates stage against a brute force of five words and 0.8."""
+    import corpus_pipeline as P
+
+    base = [f"w{i}" for i in range(500)]
+    some = lambda k: [f"x{k}.{i}" if i % 40 == 20 and i // 40 < k else w for i, w in enumerate(base)]
+    texts = {2001: base, 2002: base[:450] + [f"y{i}" for i in range(50)], 2003: some(11), 2004: some(12)}
+    made = near_copies(60) + [(d, " ".join(w)) for d, w in texts.items()] + [(3000, "one two three four"), (3001, "one two three four"), (3002, None), (3003, "")]
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for d, w in ((d, words(t)) for d, t in made)}
+    least = {d: d for d in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) > 0:
+                    least[a] = least[b] = min(least[a], least[b])
+    want = {d for d in sets if least[d] == d}
+    assert want & set(texts) == {2001, 2004}
+    kept = P.drop_near_duplicates(spark, spark.createDataFrame(made, "doc_id long, text string"), DIR)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
+
+
 def test_registered_sql(spark):
     import duckdb
 
