@@ -89,6 +89,24 @@ def test_secrets(spark, docs, odd, none):
     assert secret_scan.labelled_sample(none) == {}
 
 
+def test_secrets_among_many_bare_tokens(spark, docs, tmp_path):
+    """The grammar that the query builds finds tokens without a keyword, however many the corpus holds."""
+    rng = random.Random(6)
+    digits, lower = "0123456789", "abcdefghijklmnopqrstuvwxyz"
+    made, prose = [], docs.select("doc_id", "text").collect()
+    for i in range(4000):
+        prefix, alphabet = [("", lower + lower.upper() + digits), ("ghp_", lower + lower.upper() + digits), ("", lower.upper() + digits), ("", lower + digits)][i % 4]
+        made.append(prefix + "".join(rng.choice(alphabet) for _ in range(rng.randint(24, 40))))
+    frame = spark.createDataFrame([(r.doc_id, r.text) for r in prose] + [(10**6 + i, f"see {t} there") for i, t in enumerate(made)], "doc_id long, text string")
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.spans for r in queries.op2_grammar_secrets(spark, str(tmp_path)).collect()}
+    for kind in range(4):
+        mine = [i for i in range(kind, len(made), 4) if re.search("[0-9]", made[i]) and re.search("[A-Za-z]", made[i])]
+        found = sum(f":4:{4 + len(made[i])}" in got[10**6 + i] for i in mine)
+        assert found > (0.97, 0.97, 0.97, 0.8)[kind] * len(mine), (kind, found, len(mine))
+    assert all(got[r.doc_id] == brute_spans(r.text) for r in prose)
+
+
 def test_toxicity(spark, odd, none):
     rng = random.Random(1)
     calm = ["house", "river", "walked", "green", "table", "window", "talked", "about"]
