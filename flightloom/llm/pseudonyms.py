@@ -38,7 +38,7 @@ PATTERNS = {
     "card": r"(?<![0-9A-Za-z])(?:[0-9]{4}(?P<c>[ -])[0-9]{6}(?P=c)[0-9]{5}|(?:[0-9]{4}[ -]){3}[0-9]{4}|[0-9]{13,19})(?![0-9A-Za-z])",
 }
 FINDER = re.compile("|".join(f"(?P<{k}>{v})" for k, v in PATTERNS.items()))
-_HINT = re.compile(r"@|[0-9]{2}")
+_HINT = re.compile(r"@|[0-9]{2}|[0-9]\.[0-9]")
 FIRST_DAY, LAST_DAY = date(1000, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 

@@ -65,6 +65,13 @@ def test_pseudonyms(spark, odd, none):
     assert got == {(r[0], r[1]) for r in ODD} and rows(pseudonyms.pseudonymised(none)) == []
 
 
+def test_pseudonyms_of_short_addresses():
+    forth, back = pseudonyms.Pseudonymiser(), pseudonyms.Pseudonymiser(back=True)
+    made, counts = forth.text("8.8.8.8")
+    assert made != "8.8.8.8" and sum(counts) == counts[pseudonyms.KINDS.index("ip")] == 1 and back.text(made)[0] == "8.8.8.8"
+    assert forth.text("from 8.8.8.8 in 2024")[0] == f"from {made} in 2024"
+
+
 def brute_spans(text):
     out = [(m.start(), 0, m.end()) for m in re.finditer(secret_scan.ASSIGN.pattern.decode(), text or "") if len(m[2]) >= 8]
     out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text or "") if len(m[0]) >= 16]
