@@ -2,9 +2,10 @@
 
 Numbers and dates that pass the check of their kind are mapped to others of the same format that pass it
 too. The map of a kind is one permutation for a key, so equal values stay equal across documents and
-different values stay different. Kinds, tried in this order at each place: email, iban (mod 97), date
+different values stay different. Kinds, tried in this order at each place: email, iban (mod 97; of a run of
+groups the part of its country's length, else the longest that passes), date
 (calendar), ip (octets), ssn (area, group, serial), phone, card (13 to 19 digits; the Luhn remainder is
-kept, so valid numbers stay valid).
+kept, so valid numbers stay valid). Where a check fails, other kinds are sought from the next character on.
 
 Defined results: a null text stays null with counts 0; an empty text stays empty; repeated rows are treated
 each; other columns are ignored.
@@ -37,6 +38,11 @@ PATTERNS = {
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "card": r"(?<![0-9A-Za-z])(?:[0-9]{4}(?P<c>[ -])[0-9]{6}(?P=c)[0-9]{5}|(?:[0-9]{4}[ -]){3}[0-9]{4}|[0-9]{13,19})(?![0-9A-Za-z])",
 }
+#: IBAN lengths of countries, which tell an IBAN from words or numbers after it.
+LENGTHS = {x[:2]: int(x[2:]) for x in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21"
+    " LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+).split()}
 FINDER = re.compile("|".join(f"(?P<{k}>{v})" for k, v in PATTERNS.items()))
 _HINT = re.compile(r"@|[0-9]{2}|[0-9]\.[0-9]")
 FIRST_DAY, LAST_DAY = date(1000, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
@@ -93,6 +99,15 @@ def _mod97(iban: str) -> int:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
 
 
+def _iban_part(value: str) -> str:
+    """The leading groups of a match that are an IBAN; empty: none."""
+    parts = [value[: m.end()] for m in re.finditer("[A-Z0-9]+", value)]
+    sizes = [(len(part) - part.count(" "), part) for part in reversed(parts)]
+    valid = [(size, part) for size, part in sizes if 15 <= size <= 34 and _mod97(part.replace(" ", "")) == 1]
+    own = [part for size, part in valid if size == LENGTHS.get(value[:2])]
+    return own[0] if own else valid[0][1] if valid else ""
+
+
 def _refill(shape: str, digits: str) -> str:
     it = iter(digits)
     return "".join(next(it) if "0" <= c <= "9" else c for c in shape)
@@ -200,15 +215,18 @@ class Pseudonymiser:
         if not text or not _HINT.search(text):
             return text, counts
 
-        def swap(m: re.Match) -> str:
+        out, done, at = [], 0, 0
+        while m := FINDER.search(text, at):
             kind = next(k for k in KINDS if m[k] is not None)
-            made = getattr(self, kind)(m[0])
+            value = _iban_part(m[0]) if kind == "iban" else m[0]
+            made = getattr(self, kind)(value) if value else None
             if made is None:
-                return m[0]
+                at = m.start() + 1
+                continue
             counts[KINDS.index(kind)] += 1
-            return made
-
-        return FINDER.sub(swap, text), counts
+            out += [text[done : m.start()], made]
+            done = at = m.start() + len(value)
+        return "".join([*out, text[done:]]), counts
 
 
 def pseudonymised(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:

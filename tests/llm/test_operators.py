@@ -72,6 +72,22 @@ def test_pseudonyms_of_short_addresses():
     assert forth.text("from 8.8.8.8 in 2024")[0] == f"from {made} in 2024"
 
 
+def test_pseudonyms_of_ibans_before_words():
+    forth, back = pseudonyms.Pseudonymiser(), pseudonyms.Pseudonymiser(back=True)
+    which = lambda counts: {k: n for k, n in zip(pseudonyms.KINDS, counts) if n}
+    for iban in ("BE68539007547034", "AT611904300234573201", "ES9121000418450200051332", "PL61109010140000071219812874", "DE89370400440532013000", "NO9386011117947"):
+        for form in (iban, " ".join(iban[i : i + 4] for i in range(0, len(iban), 4))):
+            want = forth.text(form)[0]
+            assert want != form and pseudonyms._mod97(want.replace(" ", "")) == 1
+            for after in ("", " BIC", " EUR", " 2024", " today", " BIC ABCDEFGH 12", " EUR 1234 5678 ABCD"):
+                made, counts = forth.text("IBAN " + form + after)
+                assert made == "IBAN " + want + after and which(counts) == {"iban": 1} and back.text(made)[0] == "IBAN " + form + after
+        made, counts = forth.text(f"EU27 {iban} {iban} 2024-02-29")
+        assert made.startswith(f"EU27 {forth.text(iban)[0]} {forth.text(iban)[0]} ") and which(counts) == {"iban": 2, "date": 1}
+    assert which(forth.text("AB12 4111 1111 1111 1111")[1]) == {"card": 1}
+    assert which(forth.text("BE68539007547035 BIC 999.1.1.1 2023-02-30")[1]) == {}
+
+
 def brute_spans(text):
     out = [(m.start(), 0, m.end()) for m in re.finditer(secret_scan.ASSIGN.pattern.decode(), text or "") if len(m[2]) >= 8]
     out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text or "") if len(m[0]) >= 16]
