@@ -26,7 +26,7 @@ from flightloom.llm._io import written
 
 SHINGLE = 5
 PERCENT = 80
-RADIUS = 16
+RADIUS = 24
 BROADCAST_BYTES = 8 << 20
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
