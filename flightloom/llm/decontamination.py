@@ -1,8 +1,8 @@
 """Benchmark decontamination by SimHash windows and exact verification; DataFrame functions only.
 
 Texts and items become lower-case words (runs of letters and digits). A window has as many words as the
-item it is held against. Since a window of similarity 0.8 shares a 5-word shingle with its item, only
-windows aligned by a shared shingle are fingerprinted; that leaves out no window that could pass. Each
+item it is held against. A window of similarity 0.8 shares 8 in 9 of its shingles with its item or more, so
+only windows with that many places of the item's shingles are fingerprinted; that leaves out no window that could pass. Each
 window and item gets a 64-bit SimHash of its words; the bits are cut into ``RADIUS`` + 1 blocks, so two
 fingerprints within the radius agree in a block whole, and windows meet items of their length on equal
 blocks. Pairs within the radius are verified by the weighted Jaccard similarity of their shingles, each
@@ -70,12 +70,23 @@ def items_of(benchmark: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return rows.withColumn("item_hashes", hashes)
 
 
+def _starts(percent: int) -> Column:
+    """Starts of the windows of n words that hold enough of places (where the item's shingles are) to pass."""
+    last = F.greatest(F.lit(0), F.size("words") - F.col("n"))
+    held = F.least(F.col("n"), F.size("words")) - F.col("k") + 1  # shingles of a window
+    need = F.ceil(F.lit(percent) * (F.col("n") - F.col("k") + 1 + held) / F.lit(100.0 + percent) - 1e-9).cast("int")
+    at = lambda i: F.get(F.col("places"), i)
+    firsts = F.when(F.size("places") >= need, F.sequence(F.lit(0), F.size("places") - need)).otherwise(F.array().cast("array<int>"))
+    firsts = F.filter(firsts, lambda i: at(i + need - 1) - at(i) < held)
+    return F.array_distinct(F.flatten(F.transform(firsts, lambda i: F.sequence(F.greatest(F.lit(0), at(i + need - 1) - held + 1), F.least(at(i), last)))))
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, radius: int = RADIUS) -> DataFrame:
     """doc_id, mark, item_id, similarity (best), windows: every item found in every whole text."""
     items = written(items_of(benchmark, shingle).withColumn("item_print", simhash(F.col("item_words"))), "items")
     sizes = [r["k"] for r in items.select("k").distinct().collect()]  # at most five
     volume = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    seeds = items.select("n", "k", F.posexplode("item_hashes").alias("offset", "h")).distinct()
+    seeds = items.select("n", "k", F.xxhash64("item_words").alias("item"), F.explode("item_hashes").alias("h")).distinct()
     seeds = F.broadcast(seeds) if volume <= BROADCAST_BYTES else seeds
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), words(F.col("text")).alias("words"))
     met = None
@@ -84,8 +95,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, percent:
         met = found if met is None else met.unionByName(found)
     if met is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, mark long, item_id long, similarity double, windows long")
-    start = F.greatest(F.lit(0), F.least(F.col("at") - F.col("offset"), F.size("words") - F.col("n")))
-    windows = met.select("doc_id", "mark", "n", start.alias("start"), F.concat_ws(" ", F.slice("words", start + 1, F.col("n"))).alias("window")).distinct()
+    # All places of a text are in one task, so a group is one row before it is dealt out.
+    placed = met.groupBy("doc_id", "mark", "item", "n", "k").agg(F.sort_array(F.collect_set("at")).alias("places"), F.first("words").alias("words"))
+    windows = placed.select("doc_id", "mark", "n", "words", F.explode(_starts(percent)).alias("start"))
+    windows = windows.select("doc_id", "mark", "n", "start", F.concat_ws(" ", F.slice("words", F.col("start") + 1, F.col("n"))).alias("window")).distinct()
     # Written with their fingerprints, which many expressions below refer to.
     windows = written(windows.withColumn("words", F.split("window", " ")).withColumn("print", simhash(F.col("words"))).drop("window"), "windows")
     left = windows.select("doc_id", "mark", "n", "start", "words", "print", F.explode(_blocks(F.col("print"), radius)).alias("b")).select("*", "b.block", "b.bits").drop("b")

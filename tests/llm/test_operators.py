@@ -279,6 +279,15 @@ def test_decontamination_of_replaced_ends(spark):
     assert decontamination.hits(docs, spark.createDataFrame([(j, " ".join(w)) for j, w in enumerate(items)], "item_id long, text string")).count() == 3000
 
 
+def test_decontamination_between_alignments(spark):
+    w = [f"w{i}" for i in range(100)]
+    texts = [["a", "b", "c"] + w[3:50] + [f"n{i}" for i in range(5)] + w[50:97] + ["d", "e", "f"], w[40:] + w[:40], ["a"] * 30 + w[20:] + w[:20] + ["b"] * 30, w[:97] + w[:97], w[:60], w[:93]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(w[:40] * 2))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.hits(docs, items).collect()}
+    assert got == brute_leaks(docs.collect(), items.collect()) and {(0, 1), (1, 1), (2, 1)} <= got
+
+
 def test_quality(spark, odd, none):
     def brute(text):
         w, seen, dup, at = words(text), set(), 0, collections.defaultdict(list)
