@@ -50,3 +50,12 @@ def written(frame: DataFrame, what: str) -> DataFrame:
     path = new_folder(frame.sparkSession, what)
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def veiled(docs: DataFrame) -> tuple[DataFrame, dict[str, str], list[str]]:
+    """docs under column names that no operator uses, the new name of each column, and the old names in order.
+
+    Joins can then bring columns of any name beside those of docs.
+    """
+    made = [f"docs_column_{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*made), dict(zip(docs.columns, made)), list(docs.columns)

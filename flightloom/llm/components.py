@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from flightloom.llm._io import written
 from flightloom.llm._text import tidy
 
-#: Edges in a partition that is merged by one task.
+#: Edges that are merged within a task before the steps begin.
 MERGED = 200_000
 
 
@@ -34,8 +34,7 @@ def _merged(edges: DataFrame, parts: int) -> DataFrame:
         inner = np.flatnonzero(root != np.arange(len(names)))
         yield pa.RecordBatch.from_arrays([pa.array(names[inner]), pa.array(names[root[inner]])], ["a", "b"])
 
-    dealt = edges.coalesce(1) if parts == 1 else edges.repartition(parts)
-    return dealt.mapInArrow(tidy(run), edges.schema)
+    return edges.repartition(parts, "a").mapInArrow(tidy(run), edges.schema)
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -60,22 +59,25 @@ def _stars(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def _state(edges: DataFrame):
+    """Number and sum of hashes of the edges, by which a step that changes nothing is known."""
+    return edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, root (least node of its component) for every node of edges (a, b); a and b of one type.
 
     Null ends are dropped, loops and repeated edges don't matter, no edges give no rows. Each step is
-    written to the shared folder. It ends when a step changes nothing, or once one task has merged all edges.
+    written to the shared folder. It ends when a step changes nothing.
     """
     edges = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = written(edges, "edges")
     parts = max(1, -(-edges.count() // MERGED))
     edges = written(_merged(edges, parts), "merged")
-    state = None
+    state = _state(edges)
     for _ in range(rounds):
-        if parts == 1:
-            return _stars(edges)
         edges = written(_star(_star(edges, True), False), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        now = _state(edges)
         if now == state:
             return _stars(edges)
         state = now

@@ -5,19 +5,23 @@
 2. A sketch counts all shingles of all classes in ``CELLS`` cells. Shingles are ordered rare first by the
    level of their cell, then by hash. The order decides only speed; links don't depend on it.
 3. Each class files its prefix in that order: two sets with Jaccard >= t must share a prefix shingle.
-   Classes that meet are paired once, at the first shingle their prefixes share, subject to
-   the length filter, the positional filter (both tails are too short for the missing overlap) and
-   the suffix filter (a bound on the symmetric difference from 1024 hashed cells of either set). Sets too
-   large for 1024 cells to tell apart are filtered again by cells of at least twice their size.
-4. First every posting list links its members to its least member only. Links that an exact comparison
-   confirms are merged into components. In ``ROUNDS`` further rounds each member of a list gives its
-   nearest partner in another component; the last round gives every pair that is still in different
-   components and that no filter excludes. So a large group of near copies never gives all its pairs.
-5. Lists over ``BLOCK`` members are cut into blocks; pairs of blocks are dealt to different tasks.
+4. First every posting list pairs its members with its least member, subject to the length filter, the positional
+   filter (both tails are too short for the missing overlap) and the suffix filter. The last one is not the
+   recursive split of the suffixes but a bound on the symmetric difference of whole sets, from hashed cells of at
+   least twice a set's size; like the split it only excludes pairs that can't link. Pairs that pass are compared exactly.
+5. Lists that still reach over several components make units, one for each least member. A first pass keeps, of
+   each unit, the members that have a partner in another component which no filter excludes; only these get their shingles,
+   and a second pass compares them exactly within the unit's task and gives out a spanning forest of the
+   links. No pass gives more rows than it has members, however many pairs a group of near copies holds.
+6. Units over ``UNIT`` are cut into blocks, about the square root of their size of them; pairs of blocks are dealt to
+   different tasks.
+
+Classes are told apart by 64-bit hashes of their sets alone: of n different sets about n * n / 4e19 pairs are
+merged by mistake, that is none up to 10^9 sets and two or three among 10^10.
 
 Defined results: null texts and texts without words have an empty set and link with nothing; fewer than
 four words form one shingle; repeated ids are judged row by row and the least id of a class names it; a
-null id takes part in its class but never names one that has ids; other columns are ignored; an empty
+null id takes part in its class but never names one that has ids; other columns are ignored, whatever their names; an empty
 table gives an empty result.
 """
 
@@ -31,20 +35,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flightloom.llm._io import release, written
-from flightloom.llm._text import Scan, grams, mix, pieces, ranges, strings, tidy
+from flightloom.llm._io import release, veiled, written
+from flightloom.llm._text import Scan, grams, mix, pieces, strings, tidy
 from flightloom.llm.components import components
 
 CELLS = 1 << 22
 CHUNK = 1 << 16
-BLOCK = 4096
-PAIRS = 1 << 18
+#: Weight of a unit that one task takes whole; a set weighs 1, and more from ``BITS`` / 2 shingles on.
+UNIT = 128
 BITS = 1024
 WIDEST = 1 << 22
 WORD_GRAM = 4
 PERCENT = 85
-ROUNDS = 1
-BROADCAST_PAIRS = 500_000
 
 
 def shingle_sets(column: pa.Array, n: int = WORD_GRAM, lower: bool = True) -> list[np.ndarray]:
@@ -74,9 +76,9 @@ def set_key(tokens: np.ndarray) -> int:
 
 
 def sets_of(docs: DataFrame, n: int = WORD_GRAM) -> DataFrame:
-    """doc_id, mark, n_shingles, set_key, tokens, bits, wide; the last three are null where this task has given that set before.
+    """doc_id, mark, n_shingles, set_key, tokens, bits; the last two are null where this task has given that set before.
 
-    wide: the cells of a set of more than BITS / 2 shingles; null for others.
+    bits: the marked cells of the set, ``width`` of them.
     """
 
     def run(batches):
@@ -84,22 +86,21 @@ def sets_of(docs: DataFrame, n: int = WORD_GRAM) -> DataFrame:
         for batch in batches:
             text = strings(batch.column(2))
             for lo, hi in pieces(text):
-                sizes, keys, tokens, bits, wide = [], [], [], [], []
+                sizes, keys, tokens, bits = [], [], [], []
                 for s in shingle_sets(text[lo:hi], n):
                     key = set_key(s) if len(s) else None
                     sizes.append(len(s))
                     keys.append(key)
                     known = key is None or key in seen
                     tokens.append(None if known else pack(s))
-                    bits.append(None if known else _bits(s >> np.uint64(16)))
-                    wide.append(None if known or 2 * len(s) <= BITS else _bits(s >> np.uint64(16), width(len(s))))
+                    bits.append(None if known else _bits(s >> np.uint64(16), width(len(tokens[-1]) // 6)))
                     seen.add(key)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[lo:hi], batch.column(1)[lo:hi], pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(tokens, pa.binary()), pa.array(bits, pa.binary()), pa.array(wide, pa.binary())],
-                    ["doc_id", "mark", "n_shingles", "set_key", "tokens", "bits", "wide"],
+                    [batch.column(0)[lo:hi], batch.column(1)[lo:hi], pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(tokens, pa.binary()), pa.array(bits, pa.binary())],
+                    ["doc_id", "mark", "n_shingles", "set_key", "tokens", "bits"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text").mapInArrow(tidy(run), "doc_id long, mark long, n_shingles long, set_key long, tokens binary, bits binary, wide binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text").mapInArrow(tidy(run), "doc_id long, mark long, n_shingles long, set_key long, tokens binary, bits binary")
 
 
 def pack(tokens: np.ndarray) -> bytes:
@@ -220,12 +221,6 @@ def _required(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
     return -((-percent * (na + nb)) // (100 + percent))
 
 
-def _may_link(na, pa_, nb, pb, percent) -> np.ndarray:
-    """Length filter and positional filter for two sets that meet at these prefix positions."""
-    need = _required(na, nb, percent)
-    return (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (1 + np.minimum(na - pa_ - 1, nb - pb - 1) + np.minimum(pa_, pb) >= need)
-
-
 def star_pairs(met: DataFrame, percent: int) -> DataFrame:
     """(a, b): each member of a posting list with the list's least member, where the filters allow it."""
     n, pos, head = F.col("n").cast("long"), F.col("pos").cast("long"), F.col("head")
@@ -275,29 +270,29 @@ def _may_hold(held: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return ok
 
 
-def _held(key: str, holder: str) -> F.Column:
-    return F.xxhash64(key, F.coalesce(holder, F.lit(0)))
+def tokens_of(keys: DataFrame, sets: DataFrame) -> DataFrame:
+    """set_key, tokens of the sets named in keys (set_key, holder), written.
 
+    holder is the least doc_id that holds the set's tokens, so of copies one row is taken. keys is a written table:
+    where its files are small Spark broadcasts it, and only rows that it names are dealt out.
+    """
+    held = sets.where("tokens is not null").select("set_key", F.col("doc_id").alias("holder"), "tokens")
+    held = held.join(keys.toDF("k", "h"), (F.col("set_key") == F.col("k")) & F.col("holder").eqNullSafe(F.col("h")), "left_semi")
+    return written(held.select("set_key", "tokens"), "tokens")
 
-def held_by(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
-    """(set_key, column) of the sets named in pairs (a, b, ha, hb), written without a shuffle; column: tokens or wide.
 
-    ha and hb are the least doc_id that holds the set's tokens, so of copies one row is taken. The names of few
-    pairs are broadcast after they are counted; else a Bloom filter picks the rows, and what it passes by
-    mistake finds no partner, or repeats a pair.
-    """
-    names = pairs.select(_held("a", "ha").alias("x")).unionByName(pairs.select(_held("b", "hb").alias("x")))
-    near = sets.where(F.col(column).isNotNull()).select("set_key", column, _held("set_key", "doc_id").alias("x"))
-    if pairs.count() <= BROADCAST_PAIRS:
-        return written(near.join(F.broadcast(names.distinct()), "x", "left_semi").select("set_key", column), column)
-    held = sets.sparkSession.sparkContext.broadcast(key_filter(names))
+def _folded(cells: list[bytes], words: int) -> np.ndarray:
+    """The marked cells of sets as rows of so many 64-bit words; a wider row's cells fall on their remainders."""
+    out = np.empty((len(cells), words), np.uint64)
+    for i, x in enumerate(cells):
+        row = np.frombuffer(x, np.uint64)
+        out[i] = row if len(row) == words else np.bitwise_or.reduce(row.reshape(-1, words), 0)
+    return out
 
-    def sift(batches):
-        for batch in batches:
-            kept = batch.filter(pa.array(_may_hold(held.value, batch.column(2).to_numpy(zero_copy_only=False)), pa.bool_()))
-            yield kept.select(["set_key", column])
 
-    return written(near.mapInArrow(tidy(sift), f"set_key long, {column} binary"), column)
+def _most(na, ba, nb, bb) -> np.ndarray:
+    """Greatest overlap of two sets that the marked cells of either leave possible."""
+    return np.minimum(na - np.bitwise_count(ba & ~bb).sum(1), nb - np.bitwise_count(bb & ~ba).sum(1))
 
 
 def plausible(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
@@ -306,67 +301,22 @@ def plausible(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             na, nb = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 4))
-            ba, bb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(len(na), BITS // 64) for i in (3, 5))
-            ok = _most(na, ba, nb, bb) >= _required(na, nb, percent)
+            ba, bb = (np.array(batch.column(i).to_pylist(), object) for i in (3, 5))
+            least = np.array([min(len(x), len(y)) // 8 for x, y in zip(ba, bb)], np.int64)
+            ok = np.zeros(len(na), bool)
+            for words in np.unique(least).tolist():
+                at = np.flatnonzero(least == words)
+                ok[at] = _most(na[at], _folded(ba[at], words), nb[at], _folded(bb[at], words)) >= _required(na[at], nb[at], percent)
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(ok, pa.bool_())) for i in (0, 1, 6, 7)], ["a", "b", "ha", "hb"])
 
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct()
-    # Few keys are broadcast after they are counted, so that only their rows are dealt out.
-    bits = bits.join(F.broadcast(keys) if pairs.count() <= BROADCAST_PAIRS else keys, "set_key", "left_semi")
     left = bits.select(F.col("set_key").alias("a"), F.col("n_shingles").alias("na"), F.col("bits").alias("ba"), F.col("holder").alias("ha"))
     right = bits.select(F.col("set_key").alias("b"), F.col("n_shingles").alias("nb"), F.col("bits").alias("bb"), F.col("holder").alias("hb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "ba", "nb", "bb", "ha", "hb")
     return both.mapInArrow(tidy(run), "a long, b long, ha long, hb long")
 
 
-def sharpened(pairs: DataFrame, sets: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, ha, hb) that the wide cells don't exclude; pairs with a small set all stay.
-
-    A pair takes at most a twelfth of the bytes here that its tokens would take.
-    """
-    large = bits.where(F.col("n_shingles") * 2 > BITS).select("set_key", F.col("n_shingles").alias("n"))
-    sized = pairs.join(large.toDF("a", "na"), "a", "left").join(large.toDF("b", "nb"), "b", "left")
-    sized = written(sized.select("a", "b", "ha", "hb", "na", "nb"), "sized")
-    both = sized.where("na is not null and nb is not null")
-    if both.isEmpty():
-        return pairs
-
-    def near(x: memoryview, y: memoryview, na: int, nb: int) -> bool:
-        x, y = (np.frombuffer(v, np.uint64) for v in (x, y))
-        cells = min(len(x), len(y))
-        x, y = (np.bitwise_or.reduce(v.reshape(-1, cells), 0) for v in (x, y))
-        most = min(na - int(np.bitwise_count(x & ~y).sum()), nb - int(np.bitwise_count(y & ~x).sum()))
-        return most >= -((-percent * (na + nb)) // (100 + percent))
-
-    def run(batches):
-        for batch in batches:
-            rows = zip(*(batch.column(i) for i in range(4, 8)))
-            ok = [near(x.as_buffer(), y.as_buffer(), na.as_py(), nb.as_py()) for na, nb, x, y in rows]
-            yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b", "ha", "hb"])
-
-    few = together(both, held_by(both, sets, "wide"), "wide")
-    few = few.select("a", "b", "ha", "hb", "na", "nb", "left", "right").mapInArrow(tidy(run), "a long, b long, ha long, hb long")
-    return written(sized.where("na is null or nb is null").select("a", "b", "ha", "hb").unionByName(few), "sharp")
-
-
-def together(pairs: DataFrame, held: DataFrame, column: str) -> DataFrame:
-    """pairs with the column of a as left and that of b as right. pairs is broadcast only while it is short."""
-    few = pairs.count() <= BROADCAST_PAIRS
-    named, firsts = pairs, pairs.select("a").distinct()
-    right = held.select(F.col("set_key").alias("b"), F.col(column).alias("right")).join(F.broadcast(named) if few else named, "b")
-    left = held.select(F.col("set_key").alias("a"), F.col(column).alias("left"))
-    if few:  # only rows that some pair names first are dealt out
-        left = left.join(F.broadcast(firsts), "a", "left_semi")
-    return right.join(left, "a")
-
-
-def _most(na, ba, nb, bb) -> np.ndarray:
-    """Greatest overlap of two sets that the marked cells of either leave possible."""
-    return np.minimum(na - np.bitwise_count(ba & ~bb).sum(1), nb - np.bitwise_count(bb & ~ba).sum(1))
-
-
 def confirmed(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link, compared exactly."""
+    """The pairs (a, b) whose sets link, compared exactly; tokens: set_key, tokens."""
 
     def run(batches):
         for batch in batches:
@@ -380,99 +330,107 @@ def confirmed(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
                 ok.append(100 * same >= percent * (len(x) + len(y) - same))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok, pa.bool_())), batch.column(1).filter(pa.array(ok, pa.bool_()))], ["a", "b"])
 
-    both = together(pairs.select("a", "b"), tokens, "tokens").select("a", "b", "left", "right")
-    return both.mapInArrow(tidy(run), "a long, b long")
-
+    pairs = pairs.select("a", "b")
+    right = tokens.select(F.col("set_key").alias("b"), F.col("tokens").alias("right")).join(pairs, "b")
+    left = tokens.select(F.col("set_key").alias("a"), F.col("tokens").alias("left")).join(pairs.select("a").distinct(), "a", "left_semi")
+    return right.join(left, "a").select("a", "b", "left", "right").mapInArrow(tidy(run), "a long, b long")
 
-def _nearest(i, j, near, key) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the pairs (i, j) in both directions the nearest one of each i; ties: the least key."""
-    i, j, near = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([near, near])
-    order = np.lexsort((key[j], -near, i))
-    i, j, near = i[order], j[order], near[order]
-    first = np.concatenate([[True], i[1:] != i[:-1]]) if len(i) else np.zeros(0, bool)
-    return i[first], j[first], near[first]
 
+def units_of(met: DataFrame, roots: DataFrame, unit: int = UNIT) -> DataFrame:
+    """unit, side, set_key, comp, n: the members of posting lists that reach over components.
 
-def open_pairs(units: DataFrame, percent: int, nearest: bool) -> DataFrame:
-    """Pairs of one unit in different components that no filter excludes.
-
-    A unit is a posting list, or two blocks of a long one. With nearest, each member gives only the pair of
-    the least possible difference; else it gives all. Pairs found in several units are given once.
+    Lists with one least member are one unit, so near copies, which share many lists, are in few units. A heavy unit is
+    cut into blocks: a row goes to each pair of blocks that its own is part of; side tells the two apart
+    (0: both are one).
     """
+    comps = roots.withColumnRenamed("node", "set_key")
+    rows = met.select("token", F.col("head.set_key").alias("head"), "set_key", "n").join(comps, "set_key", "left")
+    rows = written(rows.select("token", "head", "set_key", "n", F.coalesce("root", "set_key").alias("comp")), "rows")
+    lists = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+    rows = written(rows.join(lists, "token", "left_semi").select("head", "set_key", "n", "comp").distinct(), "open")
+    weight = F.greatest(F.lit(1.0), F.col("n") * 2.0 / BITS)
+    blocks = F.when(F.col("w") <= unit, 1).otherwise(F.ceil(F.sqrt(F.col("w") * 4.0 / unit))).cast("int")
+    sizes = written(rows.groupBy("head").agg(F.sum(weight).alias("w")).select("head", blocks.alias("blocks")), "sizes")
+    rows = rows.join(sizes, "head").withColumn("mine", F.pmod(F.xxhash64("set_key"), F.col("blocks").cast("long")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    name = F.xxhash64("head", F.least("mine", "other"), F.greatest("mine", "other"))
+    side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
+    return rows.select(name.alias("unit"), side.alias("side"), "set_key", "comp", "n")
+
+
+def _each_unit(frames):
+    """(frame, first row, past-the-last row) of each unit, its rows by rising size, in frames sorted by unit and size."""
+    for frame in _runs(frames):
+        unit = frame["unit"].to_numpy()
+        edges = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1], [True]])).tolist()
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            yield frame, lo, hi
+
+
+def _meet(comp: np.ndarray, side: np.ndarray, i: int, end: int) -> np.ndarray:
+    """Which rows after i up to end are its partners: those of another component, and of the other block if there are two."""
+    return (comp[i + 1 : end] != comp[i]) & ((side[i] == 0) | (side[i + 1 : end] != side[i]))
+
+
+def partnered(units: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """unit, side, set_key, comp, n, holder of the members that have a partner which no filter excludes."""
 
     def run(frames):
-        for frame in _runs(frames):
-            unit = frame["unit"].to_numpy()
-            edges = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1], [True]]))
-            key, comp = frame["set_key"].to_numpy(), frame["comp"].to_numpy()
-            n, pos, side = (frame[c].to_numpy().astype(np.int64) for c in ("n", "pos", "side"))
-            bits = np.frombuffer(b"".join(frame["bits"]), np.uint64).reshape(len(frame), BITS // 64)
-            found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-
-            def meet(i, j):
-                ok = (comp[i] != comp[j]) & _may_link(n[i], pos[i], n[j], pos[j], percent)
-                i, j = i[ok], j[ok]
-                need = _required(n[i], n[j], percent)
-                most = _most(n[i], bits[i], n[j], bits[j])
-                ok = most >= need
-                i, j, most = i[ok], j[ok], most[ok]
-                near = most / (n[i] + n[j] - most)
-                found.append(_nearest(i, j, near, key) if nearest else (i, j, near))
-
-            short_i, short_m = [], []
-            for lo, hi in zip(edges[:-1], edges[1:]):
-                whole = bool((side[lo:hi] == 0).all())
-                rows = np.arange(lo, hi)
-                if whole and hi - lo <= 64:
-                    short_i.append(rows)
-                    short_m.append(hi - rows - 1)
+        for frame, lo, hi in _each_unit(frames):
+            n, comp, side = (frame[c].to_numpy()[lo:hi].astype(np.int64) for c in ("n", "comp", "side"))
+            cells = frame["bits"].to_list()[lo:hi] if hi - lo < len(frame) else frame["bits"].to_list()
+            ends = np.searchsorted(n, n * 100 // percent, "right")  # length filter
+            wide = np.array([len(x) // 8 for x in cells])  # rises with n
+            good = np.zeros(hi - lo, bool)
+            for words in np.unique(wide).tolist():
+                first, last = np.searchsorted(wide, [words, words + 1])
+                rows = _folded(cells[first : ends[last - 1]], words)
+                for i in range(first, last):
+                    j = i + 1 + np.flatnonzero(_meet(comp, side, i, ends[i]))
+                    if len(j):
+                        ok = _most(n[i], rows[i - first], n[j], rows[j - first]) >= _required(n[i], n[j], percent)
+                        good[j[ok]] = True
+                        good[i] |= ok.any()
+            if good.any():
+                yield frame.iloc[lo:hi][good][["unit", "side", "set_key", "comp", "n", "holder"]]
+
+    rows = units.join(bits.select("set_key", "bits", "holder"), "set_key").select("unit", "side", "set_key", "comp", "n", "bits", "holder")
+    return rows.repartition("unit").sortWithinPartitions("unit", "n").mapInPandas(tidy(run), "unit long, side int, set_key long, comp long, n int, holder long")
+
+
+def forests(members: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that span what links in each unit, by exact comparison in the unit's task: fewer rows than members."""
+
+    def run(frames):
+        for frame, lo, hi in _each_unit(frames):
+            comp, side = (frame[c].to_numpy()[lo:hi].astype(np.int64) for c in ("comp", "side"))
+            sets = _arrays(pa.array(frame["tokens"].to_list()[lo:hi] if hi - lo < len(frame) else frame["tokens"].to_list(), pa.binary()))
+            n = np.array([len(s) for s in sets])
+            ends = np.searchsorted(n, n * 100 // percent, "right")
+            starts = np.concatenate([[0], np.cumsum(n)])
+            ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+            mine, out = np.zeros(int(ids.max()) + 1, bool), []
+            for i in range(hi - lo):
+                if not _meet(comp, side, i, ends[i]).any():
                     continue
-                left = rows if whole else rows[side[lo:hi] == 1]
-                right = rows if whole else rows[side[lo:hi] == 2]
-                step = max(1, PAIRS // max(1, len(right)))
-                for a in range(0, len(left), step):
-                    i, j = np.meshgrid(left[a : a + step], right, indexing="ij")
-                    i, j = i.ravel(), j.ravel()
-                    if whole:
-                        i, j = i[i < j], j[i < j]
-                    meet(i, j)
-            if short_i:
-                i, m = np.concatenate(short_i), np.concatenate(short_m)
-                cut = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(m)]) // PAIRS)) + 1
-                for part in np.split(np.arange(len(i)), cut):
-                    meet(np.repeat(i[part], m[part]), ranges(i[part] + 1, m[part]))
-            i, j, near = (np.concatenate(x) for x in zip(*found))
-            if nearest:
-                i, j, _ = _nearest(i, j, near, key)
-            yield pd.DataFrame({"a": np.minimum(key[i], key[j]), "b": np.maximum(key[i], key[j])}).drop_duplicates()
-
-    units = units.select("unit", "set_key", "comp", "n", "pos", "side", "bits")
-    return units.repartition("unit").sortWithinPartitions("unit").mapInPandas(tidy(run), "a long, b long").distinct()
-
-
-def _open_rows(met: DataFrame, roots: DataFrame) -> DataFrame:
-    """token, set_key, n, pos, comp, members: the postings of the lists that reach over components."""
-    rows = met.select("token", "set_key", "n", "pos").join(roots.withColumnRenamed("node", "set_key"), "set_key", "left")
-    rows = written(rows.select("token", "set_key", "n", "pos", F.coalesce("root", "set_key").alias("comp")), "rows")
-    sizes = rows.groupBy("token").agg(F.count("*").alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    sizes = written(sizes.where("lo <> hi").select("token", "members"), "lists")
-    return written(rows.join(sizes, "token"), "open")
-
-
-def _units(rows: DataFrame, block: int) -> DataFrame:
-    """Posting rows with their unit: the list, or each pair of blocks that the row's block is part of."""
-    blocks = F.ceil(F.col("members") / block).cast("int")
-    mine = F.pmod(F.xxhash64("set_key"), blocks.cast("long")).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("mine", mine)
-    plain = rows.where("blocks = 1").withColumn("unit", F.col("token")).withColumn("side", F.lit(0))
-    cut = rows.where("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    low, high = F.least("mine", "other"), F.greatest("mine", "other")
-    cut = cut.withColumn("unit", F.xxhash64("token", low, high)).withColumn("side", F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2))
-    columns = ["unit", "set_key", "comp", "n", "pos", "side", "bits"]
-    return plain.select(columns).unionByName(cut.select(columns))
-
-
-def linked_classes(sets: DataFrame, percent: int = PERCENT, block: int = BLOCK, rounds: int = ROUNDS) -> DataFrame:
+                mine[ids[starts[i] : starts[i + 1]]] = True
+                same = np.add.reduceat(mine[ids[starts[i + 1] : starts[ends[i]]]], starts[i + 1 : ends[i]] - starts[i + 1], dtype=np.int64)
+                mine[ids[starts[i] : starts[i + 1]]] = False
+                links = 100 * same >= percent * (n[i] + n[i + 1 : ends[i]] - same)
+                for j in (i + 1 + np.flatnonzero(links & _meet(comp, side, i, ends[i]))).tolist():
+                    if comp[j] != comp[i]:
+                        out.append((i, j))
+                        comp[comp == comp[j]] = comp[i]
+            if out:
+                key = frame["set_key"].to_numpy()[lo:hi]
+                i, j = np.array(out).T
+                yield pd.DataFrame({"a": key[i], "b": key[j]})
+
+    rows = members.join(tokens, "set_key").select("unit", "side", "set_key", "comp", F.length("tokens").alias("size"), "tokens")
+    return rows.repartition("unit").sortWithinPartitions("unit", "size").mapInPandas(tidy(run), "a long, b long")
+
+
+def linked_classes(sets: DataFrame, percent: int = PERCENT, unit: int = UNIT) -> DataFrame:
     """node, root: the components of all set keys that link with another (root: the least key)."""
     spark = sets.sparkSession
     levels = spark.sparkContext.broadcast(cell_levels(sets))
@@ -485,28 +443,15 @@ def linked_classes(sets: DataFrame, percent: int = PERCENT, block: int = BLOCK,
     bits = sets.where("bits is not null").groupBy("set_key").agg(F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits"), F.min("doc_id").alias("holder"))
     bits = written(bits, "bits")
     pairs = written(plausible(written(star_pairs(met, percent), "stars"), bits, percent), "pairs")
-    met = met.where("members > 2")  # a list of two has no other pair
-    tried, links, roots = pairs.select("a", "b"), None, None
-    turn = 0
-    while turn <= rounds + 1:
-        if turn:
-            met = _open_rows(met, roots)
-            found = open_pairs(_units(met.join(bits.select("set_key", "bits"), "set_key"), block), percent, turn <= rounds)
-            named = bits.select("set_key", "holder")
-            pairs = found.join(tried, ["a", "b"], "left_anti").join(named.toDF("a", "ha"), "a").join(named.toDF("b", "hb"), "b")
-            pairs = written(pairs.select("a", "b", "ha", "hb"), "pairs")
-            tried = tried.unionByName(pairs.select("a", "b"))
-            if pairs.isEmpty():
-                turn = rounds + 1 if turn <= rounds else rounds + 2
-                continue
-        release(spark)
-        pairs = sharpened(pairs, sets, bits, percent)
-        found = written(confirmed(pairs, held_by(pairs, sets, "tokens"), percent), "links")
-        links = found if links is None else links.unionByName(found)
-        roots = components(links)
-        release(spark)
-        turn += 1
-    return roots
+    keys = written(pairs.select("a", "ha").union(pairs.select("b", "hb")).distinct(), "keys")
+    links = written(confirmed(pairs, tokens_of(keys, sets), percent), "links")
+    roots = components(links)
+    release(spark)
+    members = written(partnered(units_of(met.where("members > 2"), roots, unit), bits, percent), "members")  # a list of two has no other pair
+    tokens = tokens_of(written(members.select("set_key", "holder").distinct(), "keys"), sets)
+    more = written(forests(members, tokens, percent), "links")
+    release(spark)
+    return components(roots.toDF("a", "b").unionByName(more))
 
 
 def classed(docs: DataFrame, n: int = WORD_GRAM, percent: int = PERCENT) -> DataFrame:
@@ -537,13 +482,13 @@ def deduplicated(docs: DataFrame, n: int = WORD_GRAM, percent: int = PERCENT) ->
     """
     rows = written(classed(docs, n, percent), "classed")
     least = rows.where("group is not null").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("m"))
-    kept = least.select(F.col("m.doc_id").alias("_id"), F.col("m.mark").alias("_m"), F.lit(True).alias("_one"))
-    bare = rows.where("group is null").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_m"), F.lit(False).alias("_one")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_m"))
+    kept = least.select(F.col("m.doc_id").alias("id"), F.col("m.mark").alias("m"), F.lit(True).alias("one"))
+    bare = rows.where("group is null").select(F.col("doc_id").alias("id"), F.col("mark").alias("m"), F.lit(False).alias("one")).distinct()
     kept = written(kept.unionByName(bare), "kept")
-    sizes = rows.join(kept, same).groupBy("_id", "_m", "_one").agg(F.count("*").alias("_rows"))
-    sizes = written(sizes, "kept")
-    found = docs.join(sizes, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_m")))
-    single = found.where("_rows = 1 or not _one").withColumn("_nth", F.lit(1))
-    several = found.where("_rows > 1 and _one").withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_m").orderBy(F.lit(1))))
-    return single.unionByName(several).where("_nth = 1").select(*(F.col(c) for c in docs.columns))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("m"))
+    sizes = written(rows.join(kept, same).groupBy("id", "m", "one").agg(F.count("*").alias("rows")), "kept")
+    plain, own, names = veiled(docs)
+    found = plain.join(sizes, F.col(own["doc_id"]).cast("long").eqNullSafe(F.col("id")) & (F.xxhash64(own["text"]) == F.col("m")))
+    single = found.where("rows = 1 or not one").withColumn("nth", F.lit(1))
+    several = found.where("rows > 1 and one").withColumn("nth", F.row_number().over(Window.partitionBy("id", "m").orderBy(F.lit(1))))
+    return single.unionByName(several).where("nth = 1").select(*plain.columns).toDF(*names)

@@ -369,13 +369,12 @@ def near_copies(n, seed=4):
     return out
 
 
-@pytest.mark.parametrize("few", [0, 500_000])
-def test_ngram_join(spark, monkeypatch, few, block=16):
-    monkeypatch.setattr(ngram_join, "BROADCAST_PAIRS", few)
+@pytest.mark.parametrize("unit", [4, 128])
+def test_ngram_join(spark, unit):
     made = near_copies(120) + [(1000 + i, f"short text {i % 3}") for i in range(6)] + [(2000, None), (2001, " "), (None, "short text 1")]
     frame = spark.createDataFrame(made, "doc_id long, text string")
     sets = ngram_join.written(ngram_join.sets_of(frame), "sets")
-    roots = {r.node: r.root for r in ngram_join.linked_classes(sets, block=block).collect()}
+    roots = {r.node: r.root for r in ngram_join.linked_classes(sets, unit=unit).collect()}
     groups = collections.defaultdict(set)
     for r in sets.where("set_key is not null").collect():
         groups[roots.get(r.set_key, r.set_key)].add(r.doc_id)
@@ -386,6 +385,34 @@ def test_ngram_join(spark, monkeypatch, few, block=16):
     assert sorted(map(str, map(sorted, ({x for x in g if x is not None} for g in groups.values())))) == sorted(map(str, map(sorted, ({x for x in g if x is not None} for g in want.values()))))
 
 
+def test_ngram_join_of_a_large_group(spark):
+    """5,000 texts, 1,500 of them near copies of one: a pair's overlap is counted over the lists of all its shingles."""
+    rng = random.Random(9)
+    made = near_copies(1500, 6)
+    for i in range(0, 3500, 2):
+        text = [f"v{rng.randrange(3000)}" for _ in range(rng.randint(5, 40))]
+        other = list(text)
+        other[rng.randrange(len(other))] = "changed"
+        made += [(10_000 + i, " ".join(text)), (10_001 + i, " ".join(other))]
+    ids, lists, sets = {}, collections.defaultdict(list), []
+    for at, (_, text) in enumerate(made):
+        w = text.split()
+        mine = sorted({ids.setdefault(tuple(w[i : i + 4]), len(ids)) for i in range(max(1, len(w) - 3))})
+        sets.append(mine)
+        for x in mine:
+            lists[x].append(at)
+    lists, size, root = {k: np.array(v) for k, v in lists.items()}, np.array([len(x) for x in sets]), np.arange(len(made))
+    for at, mine in enumerate(sets):
+        same = np.bincount(np.concatenate([lists[x] for x in mine]), minlength=len(made))
+        for j in np.flatnonzero(100 * same >= 85 * (size[at] + size - same)).tolist():
+            if root[j] != root[at]:
+                lo, hi = sorted((root[j], root[at]))
+                root[root == hi] = lo
+    want = [(d, int(n), made[r][0]) for (d, _), n, r in zip(made, size, root)]
+    assert len({c for _, _, c in want[:1500]}) > 1
+    assert sorted(rows(ngram_join.classes(spark.createDataFrame(made, "doc_id long, text string")))) == sorted(want)
+
+
 def test_wide_cells_keep_every_link(spark):
     rng = random.Random(8)
     made = []
@@ -406,6 +433,8 @@ def test_ngram_classes(spark, odd, none, docs):
     held = [(r.doc_id, r.text) for r in odd.collect()]
     assert sorted(rows(ngram_join.classes(odd)), key=str) == sorted(brute_components(held), key=str)
     assert rows(ngram_join.classes(none)) == [] and ngram_join.deduplicated(none).count() == 0
+    clashing = odd.withColumns({c: odd.mark for c in ("_id", "_m", "id", "m", "rows", "one", "nth", "set_key", "token", "group")})
+    assert ngram_join.deduplicated(clashing).columns == clashing.columns and ngram_join.deduplicated(clashing).count() == 8
     kept = ngram_join.deduplicated(odd)
     assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, (1, 2, None, 3, 5, 6, 7, 8)))
 
