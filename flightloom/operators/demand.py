@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flightloom.functions.columns import cells_in, corner_name, hours_between, levels_between, padded, pressure_icao
+from flightloom.functions.columns import LEVELS, cells_in, corner_name, levels_between, padded, pressure_icao
 
 
 def boxes(stats: DataFrame, pad: float = 0.25) -> DataFrame:
@@ -20,21 +20,43 @@ def boxes(stats: DataFrame, pad: float = 0.25) -> DataFrame:
     return stats.withColumn("box", F.explode(found))
 
 
+HOUR_US = 3_600_000_000
+
+
+def _ones(first, last):
+    """Bits first to last of a long."""
+    return F.call_function("shiftleft", F.call_function("shiftleft", F.lit(1).cast("long"), (last - first + 1).cast("int")) - 1, first.cast("int"))
+
+
 def jobs(stats: DataFrame, size: int = 20, pad: float = 0.25, parity: bool = False) -> DataFrame:
-    """grid_id, date, hours (ascending), levels (descending), area: one row per tile and day.
+    """grid_id, date, hours (ascending), levels (descending), area: one row per tile and day, in UTC.
 
-    stats: bounds in degrees, min_altitude and max_altitude in m, start and end as timestamps.
+    stats: bounds in degrees, min_altitude and max_altitude in m, start and end as timestamps. An interval gives a row
+    for each tile and day with its hours and levels as bits of two longs, which are summed by bit_or before the
+    shuffle; lists are made of the few rows that are left.
     """
     levels = levels_between(pressure_icao(F.col("max_altitude")), pressure_icao(F.col("min_altitude")), parity)
-    need = boxes(stats, pad).withColumn("levels", levels).withColumn("cell", F.explode(cells_in(F.col("box.s"), F.col("box.n"), F.col("box.w"), F.col("box.e"), size)))
-    need = need.withColumn("hour", F.explode(hours_between(F.col("start"), F.col("end"))))
-    south, west = F.col("cell.south"), F.col("cell.west")
-    keyed = need.select(corner_name(south, west).alias("grid_id"), south.alias("south"), west.alias("west"), F.date_format("hour", "yyyy-MM-dd").alias("date"), F.hour("hour").alias("hour"), "levels")
-    found = keyed.groupBy("grid_id", "south", "west", "date").agg(F.sort_array(F.collect_set("hour")).alias("hours"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("levels"))), False).alias("levels"))
-    area = F.array(F.least(F.lit(90), F.col("south") + size), F.col("west"), F.greatest(F.lit(-90), F.col("south")), F.least(F.lit(180), F.col("west") + size))
-    return found.withColumn("area", area).where("area[0] > area[2] and area[3] > area[1]").select("grid_id", "date", "hours", "levels", "area")
+    known = F.array(*map(F.lit, LEVELS))
+    bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), at.cast("int"))
+    mask = F.aggregate(levels, F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(bit(F.array_position(known, x) - 1)))
+    first = F.floor(F.unix_micros("start") / HOUR_US)
+    last = F.ceil(F.unix_micros("end") / HOUR_US)
+    need = boxes(stats, pad).select("box", F.coalesce(mask, F.lit(0).cast("long")).alias("levels"), first.alias("first"), last.alias("last")).where("first <= last")
+    need = need.withColumn("cell", F.explode(cells_in(F.col("box.s"), F.col("box.n"), F.col("box.w"), F.col("box.e"), size)))
+    need = need.withColumn("day", F.explode(F.sequence(F.floor(F.col("first") / 24), F.floor(F.col("last") / 24))))
+    hours = _ones(F.greatest(F.col("first") - F.col("day") * 24, F.lit(0)), F.least(F.col("last") - F.col("day") * 24, F.lit(23)))
+    found = need.select("cell.south", "cell.west", "day", hours.alias("hours"), "levels")
+    found = found.groupBy("south", "west", "day").agg(F.bit_or("hours").alias("hours"), F.bit_or("levels").alias("levels"))
+    south, west = F.col("south"), F.col("west")
+    area = F.array(F.least(F.lit(90), south + size), west, F.greatest(F.lit(-90), south), F.least(F.lit(180), west + size))
+    hour_list = F.filter(F.sequence(F.lit(0), F.lit(23)), lambda h: F.getbit(F.col("hours"), h) == 1)
+    level_list = F.filter(F.transform(known, lambda x, i: F.when(F.getbit(F.col("levels"), i) == 1, x)), lambda x: x.isNotNull())
+    named = found.withColumn("grid_id", corner_name(south, west)).withColumn("date", F.date_format(F.date_from_unix_date(F.col("day").cast("int")), "yyyy-MM-dd"))
+    named = named.withColumn("area", area).where("area[0] > area[2] and area[3] > area[1]")
+    return named.select("grid_id", "date", hour_list.alias("hours"), level_list.alias("levels"), "area")
 
 
+# The data set, product, variables and formats of a request.
 def documents(planned: DataFrame) -> DataFrame:
     """Each job as a JSON document."""
     text = lambda c: F.transform(c, lambda x: x.cast("string"))

@@ -6,11 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flightloom.functions.columns import enu, feet_to_m, round_even
-
-#: Interval tables up to this many rows are broadcast; larger ones are joined by time bins.
-BROADCAST_ROWS = 200_000
-
-
 def lookup(intervals: DataFrame, dimension: DataFrame, key: str, value: str, default: str = "UNKNOWN") -> DataFrame:
     """Adds value by key; of repeated keys the greatest value counts; missing, null and empty give the default."""
     once = dimension.groupBy(key).agg(F.max(value).alias(value))
@@ -22,19 +17,17 @@ def labelled(intervals: DataFrame, label: str = "fuel_kg", with_label: bool = Tr
     return intervals.where(F.col(label).isNull() | (F.col(label) > 0)) if with_label else intervals
 
 
-def join_points(points: DataFrame, intervals: DataFrame, key: str = "flight_id", bin_size: float | None = None) -> DataFrame:
+def join_points(points: DataFrame, intervals: DataFrame, key: str = "flight_id", bin_size: float = 3600.0) -> DataFrame:
     """Each point with every interval of its key that holds it: start <= t < end.
 
-    A short interval table is broadcast after its rows are counted; else both sides meet on (key, bin of time), so a
-    long key is dealt over many tasks.
+    Both sides meet on (key, bin of time), so a point is compared only with the intervals of its bin and a long
+    key is dealt over many tasks; Spark broadcasts the intervals where they are small. bin_size: about the length of an
+    interval in s.
     """
     inside = (F.col("t") >= F.col("start")) & (F.col("t") < F.col("end"))
-    if intervals.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS and bin_size is None:
-        return points.join(F.broadcast(intervals), key).where(inside)
-    size = bin_size or 3600.0
-    low, high = F.floor(F.col("start") / size), F.floor(F.col("end") / size)
+    low, high = F.floor(F.col("start") / bin_size), F.floor(F.col("end") / bin_size)
     binned = intervals.where("end > start").withColumn("_bin", F.explode(F.sequence(low, high)))
-    return points.withColumn("_bin", F.floor(F.col("t") / size)).join(binned, [key, "_bin"]).where(inside).drop("_bin")
+    return points.withColumn("_bin", F.floor(F.col("t") / bin_size)).join(binned, [key, "_bin"]).where(inside).drop("_bin")
 
 
 def kinematics(cut: DataFrame, key: list[str], digits: bool = True) -> DataFrame:
@@ -81,6 +74,11 @@ def stats(cut: DataFrame, key: list[str], extra: list[str] = ()) -> DataFrame:
     return made.drop("_e0", "_e1", "_w0", "_w1").withColumn("coverage_ratio", ratio)
 
 
+def segments(samples: DataFrame, key: list[str]) -> DataFrame:
+    """start and end of what the samples of kinematics() cover: the first one's time, and the last one's plus its dt."""
+    return samples.groupBy(*key).agg(F.min("t").alias("start"), (F.max("t") + F.max_by("dt", "t")).alias("end"))
+
+
 def fuel_rate(fuel: Column, total_time: Column) -> Column:
     return F.when(total_time > 1e-9, round_even(fuel / total_time, 4)).otherwise(0.0)
 

@@ -8,8 +8,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# The model's inputs in their order, and the types of its one-hot code.
 FEATURES = ("gs_ve", "gs_vn", "as_u", "as_v", "altitude", "vertical_rate", "longitude", "latitude", "gs_vn_dt", "gs_ve_dt", "vertical_rate_dt", "specific_energy", "energy_rate")
 
+TYPES = ("A20N", "A21N", "A306", "A318", "A319", "A320", "A321", "A332", "A333", "A359", "A388", "B38M", "B39M", "B737", "B738", "B739", "B744", "B748", "B752", "B763", "B772", "B77L", "B77W", "B788", "B789", "MD11")
+
 
 def complete(rows: DataFrame, columns: list[str], key: list[str], least: int = 10) -> DataFrame:
     """Rows without a null, of groups that keep at least so many."""
@@ -31,9 +34,14 @@ def z(c: Column, mean: float, std: float) -> Column:
     return (c - mean) / std
 
 
+def as_dict(fitted: DataFrame) -> dict[str, tuple[float, float]]:
+    """mean and std by column of moments(), a row for each column."""
+    return {r["column"]: (r["mean"], r["std"]) for r in fitted.collect()}
+
+
 def normalised(rows: DataFrame, fitted: DataFrame) -> DataFrame:
     """z-scores by moments(); the moments are a row for each column."""
-    found = {r["column"]: (r["mean"], r["std"]) for r in fitted.collect()}
+    found = as_dict(fitted)
     return rows.withColumns({c: z(F.col(c), *ms) for c, ms in found.items()})
 
 
@@ -42,6 +50,20 @@ def one_hot(c: Column, vocabulary: list[str]) -> Column:
     return F.transform(F.array(*map(F.lit, sorted(vocabulary))), lambda v: F.coalesce((v == c).cast("float"), F.lit(0.0).cast("float")))
 
 
+def model_input(fitted: dict[str, tuple[float, float]], coverage: Column, kind: Column, features: tuple[str, ...] = FEATURES, vocabulary: tuple[str, ...] = TYPES) -> Column:
+    """The input of a step: z-scores of the features and of dt, the coverage (null: 1), the one-hot type; 41 wide.
+
+    fitted: mean and standard deviation of each feature and of dt.
+    """
+    scores = (z(F.col(c), *fitted[c]) for c in (*features, "dt"))
+    return F.concat(F.array(*scores, F.coalesce(coverage, F.lit(1.0)).cast("double")), one_hot(kind, list(vocabulary)).cast("array<double>"))
+
+
+def of_split(rows: DataFrame, assigned: DataFrame, key: list[str], train: bool = True) -> DataFrame:
+    """The rows whose key the split puts on one side; assigned: key and is_train."""
+    return rows.join(assigned.where(F.col("is_train") == train).select(*key), key, "left_semi")
+
+
 def split(ids: DataFrame, group: str, name: str, val_ratio: float = 0.2, seed: int = 42, exact: bool = False) -> DataFrame:
     """Adds is_train: the first int(n * (1 - val_ratio)) of each group in a seeded order.
 

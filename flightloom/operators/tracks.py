@@ -101,35 +101,32 @@ def extrapolate(track: DataFrame, value: str, key: str = "flight_id", window: fl
     Up to trend_span beyond the last (first) valid row: the line fitted to the valid rows within
     ``window`` of it, weighing exp(-(latest - t) / window); one valid row: its value. Up to const_span: the value
     of the farthest row filled by trend, else of the valid row. Beyond: null. Angles are unwrapped for the fit.
+    All sums are windows over the key, which share one shuffle.
     """
-    valid = track.where(F.col(value).isNotNull()).select(key, "t", F.col(value).alias("v"))
-    ends = Window.partitionBy(key)
-    rows = valid.withColumn("k_head", F.min("t").over(ends)).withColumn("k_tail", F.max("t").over(ends))
-    edges = None
-    for side, sign in (("head", 1), ("tail", -1)):
-        k = F.col(f"k_{side}")
-        used = rows.where((F.col("t") - k) * sign <= window).select(key, "t", "v", k.alias("k"))
-        used = unwrap(used, "v", key) if circular else used
-        latest = F.max("t").over(ends)
-        used = used.withColumn("w", F.exp((F.col("t") - latest) / window)).withColumn("x", F.col("t") - F.min("t").over(ends))
-        w, x, v = F.col("w"), F.col("x"), F.col("v")
-        sums = used.groupBy(key).agg(F.count("*").alias("n"), F.min("t").alias("lo"), F.max("k").alias("k"), F.min_by("v", F.abs(F.col("t") - F.col("k"))).alias("vk"), F.sum(w).alias("s"), F.sum(w * x).alias("sx"), F.sum(w * x * x).alias("sxx"), F.sum(w * v).alias("sv"), F.sum(w * x * v).alias("sxv"))
-        slope = F.when(F.col("n") >= 2, (F.col("s") * F.col("sxv") - F.col("sx") * F.col("sv")) / F.nullif(F.col("s") * F.col("sxx") - F.col("sx") * F.col("sx"), F.lit(0.0)))
-        sums = sums.withColumn("b", slope).withColumn("a", (F.col("sv") - F.col("b") * F.col("sx")) / F.col("s"))
-        part = sums.select(key, F.struct("k", "lo", "a", "b", "vk").alias(side))
-        edges = part if edges is None else edges.join(part, key)
-    out = track.join(edges, key, "left")
+    every = Window.partitionBy(key)
+    out = track.withColumn("_v", F.col(value))
+    out = unwrap(out, "_v", key) if circular else out
+    valid = F.col("_v").isNotNull()
+    out = out.withColumn("_head", F.min(F.when(valid, F.col("t"))).over(every)).withColumn("_tail", F.max(F.when(valid, F.col("t"))).over(every))
     made = F.col(value)
-    for side, sign in (("head", -1), ("tail", 1)):
-        e = F.col(side)
-        beyond = (F.col("t") - e["k"]) * sign
-        trend = lambda at, e=e: e["a"] + e["b"] * (at - e["lo"])
+    names = ["_v"]
+    for side, sign in (("_head", 1), ("_tail", -1)):
+        k, within = F.col(side), valid & ((F.col("t") - F.col(side)) * sign <= window)
+        beyond = (k - F.col("t")) * sign
         inside = F.when(F.col(value).isNull() & (beyond > 0) & (beyond <= trend_span), F.col("t"))
-        far = (F.max(inside) if sign > 0 else F.min(inside)).over(Window.partitionBy(key))
-        near = F.coalesce(trend(F.col("t")), e["vk"])
-        flat = F.coalesce(trend(far), e["vk"])
-        made = F.when(F.col(value).isNull() & (beyond > 0), F.when(beyond <= trend_span, near).when(beyond <= const_span, flat)).otherwise(made)
-    return out.withColumn(value, wrap(made) if circular else made).drop("head", "tail")
+        far = F.min(inside) if sign > 0 else F.max(inside)
+        first = {"lo": F.min(F.when(within, F.col("t"))), "latest": F.max(F.when(within, F.col("t"))), "vk": F.max(F.when(valid & (F.col("t") == k), F.col("_v"))), "far": far}
+        out = out.withColumns({f"{side}_{n}": c.over(every) for n, c in first.items()})
+        at = lambda n, side=side: F.col(f"{side}_{n}")
+        w, x, v = F.exp((F.col("t") - at("latest")) / window), F.col("t") - at("lo"), F.col("_v")
+        sums = {"n": F.lit(1), "s": w, "sx": w * x, "sxx": w * x * x, "sv": w * v, "sxv": w * x * v}
+        out = out.withColumns({f"{side}_{n}": F.sum(F.when(within, c)).over(every) for n, c in sums.items()})
+        slope = F.when(at("n") >= 2, (at("s") * at("sxv") - at("sx") * at("sv")) / F.nullif(at("s") * at("sxx") - at("sx") * at("sx"), F.lit(0.0)))
+        out = out.withColumn(f"{side}_b", slope).withColumn(f"{side}_a", (at("sv") - F.col(f"{side}_b") * at("sx")) / at("s"))
+        trend = lambda t, at=at: F.coalesce(at("a") + at("b") * (t - at("lo")), at("vk"))
+        made = F.when(F.col(value).isNull() & (beyond > 0), F.when(beyond <= trend_span, trend(F.col("t"))).when(beyond <= const_span, trend(at("far")))).otherwise(made)
+        names += [side, *(f"{side}_{n}" for n in (*first, *sums, "a", "b"))]
+    return out.withColumn(value, wrap(made) if circular else made).drop(*names)
 
 
 def repair(track: DataFrame, key: str = "flight_id") -> DataFrame:

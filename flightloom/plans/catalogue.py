@@ -1,7 +1,7 @@
 """Registered queries of the track engine on the driver's tables, and their SQL.
 
 Roles: events are tracks (flight: user_id, altitude: value, missing where the event is an error; positions
-by arithmetic on event_id), five-day buckets are intervals, customers are the type dimension.
+by arithmetic on event_id), five-day buckets are intervals, suppliers with their nations are the type dimension.
 """
 
 from __future__ import annotations
@@ -38,11 +38,13 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = tracks.dedupe_near(track(spark, sf_dir), "user_id").where(F.col("altitude").isNotNull())
-    return intervals.join_points(points, intervals.labelled(labels(spark, sf_dir)), "user_id")
+    return intervals.join_points(points, intervals.labelled(labels(spark, sf_dir)), "user_id", 5.0 * DAY)
 
 
 def types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "customer").where("c_custkey % 10 <> 0").select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("aircraft_type"))
+    """Nations by supplier; there are more users than suppliers, so some users have no type."""
+    nation = _read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("aircraft_type"))
+    return _read(spark, sf_dir, "supplier").join(nation, "s_nationkey").select(F.col("s_suppkey").alias("user_id"), "aircraft_type")
 
 
 def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,15 +60,25 @@ def cube(spark: SparkSession) -> DataFrame:
 
 
 def winds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = track(spark, sf_dir).withColumn("altitude_m", F.col("altitude") * 40.0).withColumnRenamed("event_id", "point_id")
-    return weather.interpolate_cube(points, weather.plausible(cube(spark)), levels=LEVELS, step=30.0, hour=float(DAY))
+    return with_wind(track(spark, sf_dir), cube(spark))
+
+
+def with_wind(points: DataFrame, cube: DataFrame) -> DataFrame:
+    points = points.withColumn("altitude_m", F.col("altitude") * 40.0)
+    return weather.plausible(weather.interpolate_cube(points, cube, LEVELS, 30.0, float(DAY)))
+
+
+def rough_cube(spark: SparkSession) -> DataFrame:
+    """Wind without any shape, beyond 200 at many corners."""
+    at = F.col("hour_no"), F.col("lat_q"), F.col("lon_q"), F.col("pressure_level")
+    mixed = lambda h, a, o, m: ((at[0] * h + at[1] * a + at[2] * o + at[3]) % m).cast("double") * 4.0
+    return cube(spark).withColumn("u", mixed(7, 13, 29, 97)).withColumn("v", mixed(5, 3, 11, 89))
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples with winds and speeds; key user_id."""
     made = intervals.kinematics(track(spark, sf_dir).where(F.col("altitude").isNotNull()), ["user_id"], digits=False)
-    wind = winds(spark, sf_dir).select(F.col("point_id").alias("event_id"), "wind_u", "wind_v")
-    filled = made.join(wind, "event_id")
+    filled = with_wind(made, cube(spark))
     for c in ("wind_u", "wind_v"):
         filled = tracks.fill_positional(filled, c, "user_id")
     return weather.air_vector(filled)
@@ -192,7 +204,24 @@ def demand_jobs(s, d):
 
 
 def cube_interp(s, d):
-    return winds(s, d).select(F.col("point_id").alias("event_id"), _r("wind_u"), _r("wind_v"))
+    return winds(s, d).select("event_id", _r("wind_u"), _r("wind_v"))
+
+
+def cube_interp_masked(s, d):
+    """A cube that is not multilinear, with winds over the limit."""
+    return with_wind(track(s, d), rough_cube(s)).select("event_id", _r("wind_u"), _r("wind_v"))
+
+
+def tile_join(s, d):
+    """Points with the weather files there are: tiles of the north, in the first 20 days."""
+    points = weather.tiled(track(s, d))
+    files = points.where((F.col("latitude") >= 0) & (F.col("date") <= "2024-01-20"))
+    return weather.on_tiles(points, files).select("event_id", "grid_id", "date", "has_tile")
+
+
+def segment_bounds(s, d):
+    made = intervals.kinematics(cut(s, d).select("idx", "t", "latitude", "longitude", "altitude"), ["idx"])
+    return intervals.segments(made, ["idx"]).select("idx", _r("start"), _r("end"))
 
 
 def airspeed(s, d):
@@ -238,6 +267,27 @@ def train_val_split(s, d):
     return mlprep.split(ids, "o_orderpriority", "o_orderkey")
 
 
+def semi_split(s, d):
+    rows = _read(s, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber")
+    return mlprep.of_split(rows, train_val_split(s, d), ["o_orderkey"])
+
+
+def feature_vector(s, d):
+    """The 41 inputs of the model on line items."""
+    rows = _read(s, d, "lineitem")
+    for i, name in enumerate((*mlprep.FEATURES, "dt")):
+        rows = rows.withColumn(name, F.col("l_tax") * float(i) + F.col("l_quantity") if i % 2 else F.col("l_discount") * float(i) + F.col("l_extendedprice") / 1000.0)
+    kind = F.element_at(F.array(*map(F.lit, mlprep.TYPES)), (F.col("l_linenumber") * 3).cast("int"))
+    fitted = mlprep.as_dict(mlprep.moments(rows, [*mlprep.FEATURES, "dt"]))
+    x = rows.select("l_orderkey", "l_linenumber", "l_quantity", F.explode(F.array(mlprep.model_input(fitted, F.col("l_tax"), kind))).alias("x"))  # explode: the vector is made once
+    return x.select("l_orderkey", "l_linenumber", "l_quantity", *(F.round(F.col("x")[i] + 0.0, 4).alias(f"x{i:02d}") for i in range(41)))
+
+
+def evaluate_loss(s, d):
+    rows = _read(s, d, "orders").select(F.col("o_orderkey").alias("idx"), (F.col("o_totalprice") / 1000.0).alias("prediction"), (F.col("o_custkey") / 10.0).alias("label"))
+    return predict.evaluate(rows).select(_r("loss"))
+
+
 def train_val_split_exact(s, d):
     ids = _read(s, d, "orders").select(F.col("o_orderpriority"), "o_orderkey")
     return mlprep.split(ids, "o_orderpriority", "o_orderkey", exact=True)
@@ -293,7 +343,7 @@ def encoder_forward(s, d):
 _NAMES = (
     dedupe_near, thin_min_spacing, upsample_gap, interp_linear, interp_circular, angle_unwrap, trend_extrapolate, ffill_bfill, gapfill_positional, clamp_wrap, dim_lookup,
     interval_join, interval_join_binned, interval_stats, idl_bounds, enu_velocity, hpa_standard, hpa_icao, grid_key, grid_key_sw, bbox_cells, level_bracket, hour_range,
-    demand_jobs, cube_interp, airspeed, coverage_report, specific_energy, forward_rate, feature_round, moments, zscore, onehot, train_val_split, train_val_split_exact,
+    demand_jobs, tile_join, cube_interp, cube_interp_masked, airspeed, segment_bounds, coverage_report, specific_energy, forward_rate, feature_round, moments, zscore, onehot, feature_vector, train_val_split, semi_split, train_val_split_exact, evaluate_loss,
     seq_assemble, complete_groups, label_sum, coverage_upscale, template_update, missing_report, missing_keys, encoder_forward,
 )
 QUERIES = {f.__name__: f for f in _NAMES}
@@ -376,6 +426,26 @@ def _trend(side: str) -> str:
     {side} AS (SELECT user_id, k, lo, vk, CASE WHEN n >= 2 THEN (s*sxv - sx*sv) / nullif(s*sxx - sx*sx, 0) END AS b, (sv - b * sx) / s AS a FROM {side}s)"""
 
 
+def _rough(h: int, a: int, o: int, m: int) -> str:
+    """Interpolation of the rough cube: the sum over 16 corners, those of weight 0 left out."""
+    terms = []
+    for dh in (0, 1):
+        for da in (0, 1):
+            for do in (0, 1):
+                for level, share in (("lo", "1 - above"), ("hi", "above")):
+                    weight = " * ".join([f"({share})", *(f"(x{n} - floor(x{n}))" if d else f"(1 - (x{n} - floor(x{n})))" for n, d in (("h", dh), ("a", da), ("o", do)))])
+                    corner = f"(((floor(xh)::BIGINT + {dh}) * {h} + (floor(xa)::BIGINT + {da}) * {a} + (floor(xo)::BIGINT + {do}) * {o} + {level}) % {m}) * 4e0"
+                    terms.append(f"CASE WHEN {weight} = 0 THEN 0 ELSE {weight} * {corner} END")
+    return " + ".join(terms)
+
+
+_ROUGH = f"""ax AS (SELECT event_id, us / 864e8 AS xh, latitude / 3e1 AS xa, longitude / 3e1 AS xo, CASE WHEN altitude IS NOT NULL THEN {_HPA.format(x="(altitude * 4e1)")} END AS p FROM track),
+    br AS (SELECT *, list_max(list_filter({LEVELS}, lambda y: y <= p)) AS lo, list_min(list_filter({LEVELS}, lambda y: y >= p)) AS hi FROM ax),
+    ab AS (SELECT *, CASE WHEN hi > lo THEN (p - lo) / (hi - lo)::DOUBLE WHEN hi = lo THEN 0e0 END AS above FROM br),
+    rough AS (SELECT event_id, {_rough(7, 13, 29, 97)} AS u, {_rough(5, 3, 11, 89)} AS v FROM ab)"""
+_INPUTS = ", ".join(f"{f'l_tax * {i}::DOUBLE + l_quantity' if i % 2 else f'l_discount * {i}::DOUBLE + l_extendedprice / 1e3'} AS f{i}" for i in range(14))
+_VECTOR = ", ".join([f"round((f{i} - avg(f{i}) OVER ()) / sqrt(greatest(var_pop(f{i}) OVER (), 1e-6)), 4) AS x{i:02d}" for i in range(14)] + ["round(l_tax, 4) AS x14"] + [f"(CASE WHEN kind = '{t}' THEN 1 ELSE 0 END)::DOUBLE AS x{15 + i}" for i, t in enumerate(mlprep.TYPES)])
+
 ORACLES = {
     "dedupe_near": _with(_TRACK) + "SELECT user_id, event_id FROM (SELECT *, t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS gap FROM track) WHERE gap IS NULL OR gap > 72e2",
     "thin_min_spacing": "WITH RECURSIVE " + _TRACK + ", kept AS (SELECT user_id, min(us) AS us FROM track GROUP BY user_id UNION ALL SELECT k.user_id, min(p.us) FROM kept k JOIN track p ON p.user_id = k.user_id AND p.us >= k.us + 86400000000 GROUP BY k.user_id, k.us) SELECT user_id, us FROM kept",
@@ -393,7 +463,7 @@ ORACLES = {
     "ffill_bfill": _with(_TRACK, f"near AS (SELECT event_id, {_near('typecode')} FROM track)") + "SELECT event_id, coalesce(vl, vr) AS typecode FROM near",
     "gapfill_positional": _with(_TRACK, "n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t) AS rn FROM track)", f"near AS (SELECT *, {_near('altitude', 't', 'rn')} FROM n)") + "SELECT event_id, round(coalesce(altitude, vl + (vr - vl) * ((rn - tl) / (tr - tl)::DOUBLE), vl, vr, 0), 4) AS altitude FROM near",
     "clamp_wrap": _with(_TRACK) + "SELECT event_id, round(CASE WHEN altitude < 20 THEN 20 WHEN altitude > 80 THEN 80 ELSE altitude END, 4) AS clamped, round(longitude * 3 - floor((longitude * 3 + 180) / 36e1) * 360, 4) AS wrapped, round(latitude * 2 - longitude - ceil((latitude * 2 - longitude - 180) / 36e1) * 360, 4) AS turn, round_even(value * 10, 0) / 1e1 AS even FROM track",
-    "dim_lookup": _with(_TRACK, _LABELS) + "SELECT idx, coalesce(c_mktsegment, 'UNKNOWN') AS aircraft_type, row_number() OVER (PARTITION BY coalesce(c_mktsegment, 'UNKNOWN') ORDER BY user_id, \"start\", idx) - 1 AS interval_id FROM labels LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 10 <> 0) c ON c_custkey = user_id",
+    "dim_lookup": _with(_TRACK, _LABELS) + "SELECT idx, coalesce(n_name, 'UNKNOWN') AS aircraft_type, row_number() OVER (PARTITION BY coalesce(n_name, 'UNKNOWN') ORDER BY user_id, \"start\", idx) - 1 AS interval_id FROM labels LEFT JOIN (SELECT s_suppkey, n_name FROM supplier JOIN nation ON n_nationkey = s_nationkey) c ON s_suppkey = user_id",
     "interval_join": _with(_TRACK, _LABELS, _CUT) + "SELECT idx, event_id FROM cut",
     "interval_join_binned": "SELECT o_orderkey, l_linenumber FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND l_shipdate >= o_orderdate AND l_shipdate < o_orderdate + INTERVAL 30 DAY",
     "interval_stats": _with(_TRACK, _LABELS, _CUT, _STATS) + "SELECT idx, user_id, sample_count, round(min_latitude, 4) AS min_latitude, round(max_latitude, 4) AS max_latitude, round(min_longitude, 4) AS min_longitude, round(max_longitude, 4) AS max_longitude, round(min_altitude, 4) AS min_altitude, round(max_altitude, 4) AS max_altitude, round(covered_time, 4) AS covered_time, round(total_time, 4) AS total_time, round(CASE WHEN total_time > 0 THEN covered_time / total_time ELSE 0 END, 4) AS coverage_ratio, round(CASE WHEN total_time > 1e-9 THEN round_even(fuel_kg / total_time * 1e4, 0) / 1e4 ELSE 0 END, 4) AS fuel_rate FROM stats",
@@ -408,8 +478,11 @@ ORACLES = {
     "hour_range": _with(_TRACK) + "SELECT event_id, unnest(range(us // 3600000000 * 3600000000, us + 6000000000 + 3600000000 - 1, 3600000000)) AS hour_us FROM track",
     "demand_jobs": _with(_TRACK, _LABELS, _CUT, _STATS, _BOX, f"p AS (SELECT *, least(greatest({_icao('(max_altitude * 3e1)')}, 1), 1000) AS lo, least(greatest({_icao('(min_altitude * 3e1)')}, 1), 1000) AS hi FROM cells)", f"j AS (SELECT south, west, unnest({_BRACKET}) AS level, h FROM (SELECT *, unnest(range(\"start\"::BIGINT, \"end\"::BIGINT + 1, 3600)) AS h FROM p))") + f"SELECT {_CORNER} AS grid_id, strftime(make_timestamp(h * 1000000), '%Y-%m-%d') AS date, array_to_string(list_sort(list_distinct(list((h // 3600) % 24))), ',') AS hours, array_to_string(list_reverse_sort(list_distinct(list(level))), ',') AS levels, least(90, south + 20) || ',' || west || ',' || greatest(-90, south) || ',' || least(180, west + 20) AS area FROM j WHERE least(90, south + 20) > greatest(-90, south) GROUP BY south, west, date",
     "cube_interp": _with(_TRACK, _WIND) + "SELECT event_id, round(wind_u, 4) AS wind_u, round(wind_v, 4) AS wind_v FROM wind",
+    "cube_interp_masked": _with(_TRACK, _ROUGH) + "SELECT event_id, CASE WHEN abs(u) <= 200 AND abs(v) <= 200 THEN round(u, 4) END AS wind_u, CASE WHEN abs(u) <= 200 AND abs(v) <= 200 THEN round(v, 4) END AS wind_v FROM rough",
+    "tile_join": _with(_TRACK, f"c AS (SELECT event_id, latitude, strftime(make_timestamp(us), '%Y-%m-%d') AS date, {_SW} FROM track)", "n AS (SELECT *, 'N(' || least(90, south + 20) || ')W(' || west || ')S(' || greatest(-90, south) || ')E(' || least(180, west + 20) || ')' AS grid_id FROM c)") + "SELECT event_id, grid_id, date, (grid_id, date) IN (SELECT (grid_id, date) FROM n WHERE latitude >= 0 AND date <= '2024-01-20') AS has_tile FROM n",
+    "segment_bounds": _with(_TRACK, _LABELS, _CUT, "p AS (SELECT idx, t, lead(t) OVER (PARTITION BY idx ORDER BY t) - t AS dt FROM cut)") + 'SELECT idx, round(min(t), 4) AS "start", round(max(t) + round_even(greatest(1e-3, arg_max(dt, t)) * 1e2, 0) / 1e2, 4) AS "end" FROM p WHERE dt IS NOT NULL GROUP BY idx',
     "airspeed": _with(_TRACK, _WIND, _KIN, "b AS (SELECT k.*, wind_u, wind_v, row_number() OVER (PARTITION BY k.user_id ORDER BY k.t) AS rn FROM kin k JOIN wind USING (event_id))", f"a AS (SELECT *, {_near('wind_u', 't', 'rn')} FROM b)", "u AS (SELECT * EXCLUDE (tl, vl, tr, vr), coalesce(wind_u, vl + (vr - vl) * ((rn - tl) / (tr - tl)::DOUBLE), vl, vr, 0) AS fu FROM a)", f"v AS (SELECT *, {_near('wind_v', 't', 'rn')} FROM u)") + "SELECT event_id, round(gs_ve - fu, 3) AS as_u, round(gs_vn - coalesce(wind_v, vl + (vr - vl) * ((rn - tl) / (tr - tl)::DOUBLE), vl, vr, 0), 3) AS as_v FROM v",
-    "coverage_report": _with(_TRACK, _WIND) + "SELECT coalesce(c_mktsegment, 'UNKNOWN') AS aircraft_type, count(*) AS rows, count(wind_u) AS matched, round(count(wind_u) / count(*), 4) AS ratio FROM wind LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 10 <> 0) c ON c_custkey = user_id GROUP BY 1",
+    "coverage_report": _with(_TRACK, _WIND) + "SELECT CASE WHEN grouping(kind) = 1 THEN 'TOTAL' ELSE kind END AS aircraft_type, count(*) AS rows, count(wind_u) AS matched, round(count(wind_u) / count(*), 4) AS ratio FROM (SELECT coalesce(n_name, 'UNKNOWN') AS kind, wind_u FROM wind LEFT JOIN (SELECT s_suppkey, n_name FROM supplier JOIN nation ON n_nationkey = s_nationkey) c ON s_suppkey = user_id) GROUP BY ROLLUP (kind)",
     "specific_energy": _with(_TRACK) + "SELECT event_id, round(altitude * 0.3048::DOUBLE + (latitude * latitude + longitude * longitude) / 19.6133::DOUBLE, 4) AS energy FROM track",
     "forward_rate": _with(_TRACK, "g AS (SELECT *, (lead(latitude) OVER w - latitude) / nullif(lead(t) OVER w - t, 0) AS r FROM track WINDOW w AS (PARTITION BY user_id ORDER BY t))") + "SELECT event_id, round(coalesce(last_value(r IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0), 8) AS rate FROM g",
     "feature_round": _with(_TRACK) + "SELECT event_id, round_even(coalesce(altitude, 0) * 10, 0) / 1e1 AS altitude, round_even(latitude / 7 * 1e3, 0) / 1e3 AS gs_ve FROM track",
@@ -417,11 +490,14 @@ ORACLES = {
     "zscore": "SELECT l_orderkey, l_linenumber, round((l_quantity - avg(l_quantity) OVER ()) / sqrt(greatest(var_pop(l_quantity) OVER (), 1e-6)), 4) AS l_quantity, round((l_discount - avg(l_discount) OVER ()) / sqrt(greatest(var_pop(l_discount) OVER (), 1e-6)), 4) AS l_discount FROM lineitem",
     "onehot": "SELECT o_orderkey, array_to_string([(o_orderpriority = p)::INT FOR p IN ['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW']], '') AS code FROM orders",
     "train_val_split": "SELECT o_orderpriority, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5('42:' || o_orderpriority || ':' || o_orderkey), o_orderkey) <= floor(count(*) OVER (PARTITION BY o_orderpriority) * (1 - 2e-1)) AS is_train FROM orders",
+    "semi_split": "SELECT l_orderkey AS o_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5('42:' || o_orderpriority || ':' || o_orderkey), o_orderkey) <= floor(count(*) OVER (PARTITION BY o_orderpriority) * (1 - 2e-1)) AS is_train FROM orders) WHERE is_train)",
+    "feature_vector": f"SELECT l_orderkey, l_linenumber, l_quantity, {_VECTOR} FROM (SELECT *, {_INPUTS}, {list(mlprep.TYPES)}[l_linenumber * 3] AS kind FROM lineitem)",
+    "evaluate_loss": "SELECT round(avg(loss), 4) AS loss FROM (SELECT avg(e) AS loss FROM (SELECT pow(o_totalprice / 1e3 - o_custkey / 1e1, 2) AS e, (row_number() OVER (ORDER BY o_orderkey) - 1) // 16 AS b FROM orders) GROUP BY b)",
     "seq_assemble": "SELECT l_orderkey, count(*) AS steps, string_agg(l_quantity::INT || ',' || (l_quantity * 2)::INT, ',' ORDER BY l_linenumber, l_quantity) AS flat FROM lineitem GROUP BY l_orderkey",
     "complete_groups": _with(_TRACK) + "SELECT user_id, count(*) AS n FROM track WHERE altitude IS NOT NULL AND typecode IS NOT NULL GROUP BY user_id HAVING count(*) >= 50",
     "label_sum": "SELECT l_orderkey, round(sum(l_discount * l_quantity), 4) AS label FROM lineitem GROUP BY l_orderkey",
     "coverage_upscale": _with(_TRACK, _LABELS, _CUT, _STATS) + "SELECT idx, round(fuel_kg / (covered_time / total_time), 2) AS prediction FROM stats WHERE covered_time / total_time >= 2e-1",
     "template_update": "SELECT o_orderkey AS idx, round(coalesce(p, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice END, 0), 2) AS fuel_kg FROM orders LEFT JOIN (SELECT l_orderkey, sum(l_quantity) AS p FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) ON l_orderkey = o_orderkey",
     "missing_report": "SELECT o_orderkey AS idx FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')",
-    "missing_keys": "SELECT DISTINCT user_id::VARCHAR AS interval_id FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 0)",
+    "missing_keys": "SELECT DISTINCT user_id::VARCHAR AS interval_id FROM events WHERE user_id NOT IN (SELECT s_suppkey FROM supplier)",
 }

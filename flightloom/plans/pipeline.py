@@ -18,8 +18,9 @@ def samples(track: DataFrame, labels: DataFrame, flights: DataFrame, with_label:
     named = intervals.numbered(named, "aircraft_type", ["flight_id", "start", "idx"])
     cut = intervals.join_points(fixed, named)
     cut = tracks.thin(cut.withColumn("_key", F.concat_ws(":", *KEY)), "_key").drop("_key")
-    stats = intervals.stats(cut, KEY, ["flight_id", "idx", "fuel_kg", "start", "end"])
+    stats = intervals.stats(cut, KEY, ["flight_id", "idx", "fuel_kg"])
     made = intervals.kinematics(cut, KEY)
+    stats = stats.join(intervals.segments(made, KEY), KEY)
     if with_label:
         made = made.join(stats.select(*KEY, intervals.fuel_rate(F.col("fuel_kg"), F.col("total_time")).alias("fuel_rate_warm")), KEY)
     return made, stats
@@ -28,10 +29,9 @@ def samples(track: DataFrame, labels: DataFrame, flights: DataFrame, with_label:
 def features_of(made: DataFrame, cube: DataFrame, levels: list[int] | None = None) -> DataFrame:
     """Samples with wind, air speed and rate features; altitude becomes metres."""
     rows = made.withColumn("altitude", feet_to_m(F.col("altitude"))).withColumn("altitude_m", clamp(F.col("altitude"), 0, 1e9))
-    rows = rows.withColumn("point_id", F.xxhash64(*KEY, "t"))
-    rows = weather.interpolate_cube(rows, weather.plausible(cube), levels=levels)
+    rows = weather.plausible(weather.interpolate_cube(rows, cube, levels))
     rows = rows.withColumn("_key", F.concat_ws(":", *KEY))
     for wind in ("wind_u", "wind_v"):
         rows = tracks.fill_positional(rows, wind, "_key")
-    rows = weather.air_vector(rows).drop("wind_u", "wind_v", "_key", "point_id", "altitude_m")
+    rows = weather.air_vector(rows).drop("wind_u", "wind_v", "_key", "altitude_m")
     return features.build(rows, KEY)

@@ -26,14 +26,14 @@ def micros(frame: DataFrame, name: str) -> Column:
 
 
 def tracks(spark: SparkSession, folder: str, pattern: str = "*.parquet") -> DataFrame:
-    """All tracks of a folder: flight_id (the file's name where the column is missing), us, values with NaN as null."""
+    """All tracks of a folder: flight_id (the file's name where it is missing), us, values with NaN as null."""
     utc(spark).conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
     frame = spark.read.option("ignoreCorruptFiles", "true").option("mergeSchema", "true").option("pathGlobFilter", pattern).parquet(folder)
     frame = frame.withColumn("us", micros(frame, "timestamp")).drop("timestamp")
     for f in TRACK:
         if f.name not in frame.columns and f.name != "timestamp":
-            made = F.regexp_replace(F.col("_metadata.file_name"), r"\.parquet$", "") if f.name == "flight_id" else F.lit(None).cast(f.dataType)
-            frame = frame.withColumn(f.name, made)
+            frame = frame.withColumn(f.name, F.lit(None).cast(f.dataType))
+    frame = frame.withColumn("flight_id", F.coalesce("flight_id", F.regexp_replace(F.col("_metadata.file_name"), r"\.parquet$", "")))
     return frame.withColumns({f.name: number(F.col(f.name)) for f in TRACK if isinstance(f.dataType, T.DoubleType)})
 
 
@@ -90,23 +90,33 @@ def template(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
     return frame, named[0]
 
 
+def grid_rows(time, level, latitude, longitude, u, v):
+    """One frame of a file's grid: its four axes, and u and v on them in that order; masked values are NaN."""
+    import numpy as np
+    import pandas as pd
+
+    axes = {"valid_time": time, "pressure_level": level, "latitude": latitude, "longitude": longitude}
+    at = np.meshgrid(*(np.arange(len(a)) for a in axes.values()), indexing="ij")
+    columns = {n: np.asarray(a)[g.ravel()] for (n, a), g in zip(axes.items(), at)}
+    return pd.DataFrame(columns | {n: np.ma.filled(np.ma.asarray(x, float), np.nan).ravel() for n, x in (("u", u), ("v", v))})
+
+
 def cube_from_netcdf(paths: list[str], spark: SparkSession) -> DataFrame:
-    """Weather files as rows (valid_time, pressure_level, latitude, longitude, u, v); needs netCDF4 where tasks run."""
+    """Weather files as rows (valid_time, pressure_level, latitude, longitude, u, v); needs netCDF4 where tasks run.
+
+    weather.gridded() turns them into the cube that points are interpolated in.
+    """
     schema = "valid_time timestamp, pressure_level int, latitude double, longitude double, u double, v double"
 
     def load(frames):
         import netCDF4  # an ingest edge: not needed by anything else
-        import numpy as np
-        import pandas as pd
 
         for frame in frames:
             for path in frame["path"]:
                 with netCDF4.Dataset(path) as data:
                     pick = lambda *names: next(data.variables[n] for n in names if n in data.variables)
                     time = pick("valid_time", "time")
-                    axes = (netCDF4.num2date(time[:], time.units, only_use_cftime_datetimes=False), pick("pressure_level", "level", "isobaricInhPa")[:], pick("latitude")[:], pick("longitude")[:])
-                    grid = np.meshgrid(*(np.arange(len(a)) for a in axes), indexing="ij")
-                    columns = {n: np.asarray(a)[g.ravel()] for n, a, g in zip(("valid_time", "pressure_level", "latitude", "longitude"), axes, grid)}
-                    yield pd.DataFrame(columns | {c: np.ma.filled(pick(c)[:].astype(float), np.nan).ravel() for c in ("u", "v")})
+                    moments = netCDF4.num2date(time[:], time.units, only_use_cftime_datetimes=False)
+                    yield grid_rows(moments, pick("pressure_level", "level", "isobaricInhPa")[:], pick("latitude")[:], pick("longitude")[:], pick("u")[:], pick("v")[:])
 
     return spark.createDataFrame([(p,) for p in paths], "path string").repartition(len(paths)).mapInPandas(load, schema)
