@@ -346,7 +346,8 @@ def units_of(met: DataFrame, roots: DataFrame, unit: int = UNIT) -> DataFrame:
     comps = roots.withColumnRenamed("node", "set_key")
     rows = met.select("token", F.col("head.set_key").alias("head"), "set_key", "n").join(comps, "set_key", "left")
     rows = written(rows.select("token", "head", "set_key", "n", F.coalesce("root", "set_key").alias("comp")), "rows")
-    lists = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+    # A written table's size is known, so Spark broadcasts a short one and long lists aren't dealt out by their token.
+    lists = written(rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token"), "lists")
     rows = written(rows.join(lists, "token", "left_semi").select("head", "set_key", "n", "comp").distinct(), "open")
     weight = F.greatest(F.lit(1.0), F.col("n") * 2.0 / BITS)
     blocks = F.when(F.col("w") <= unit, 1).otherwise(F.ceil(F.sqrt(F.col("w") * 4.0 / unit))).cast("int")
@@ -439,6 +440,7 @@ def linked_classes(sets: DataFrame, percent: int = PERCENT, unit: int = UNIT) ->
     release(spark)
     met = written(postings(sets, levels, percent, among).distinct(), "met")
     heads = met.groupBy("token").agg(F.count("*").alias("members"), F.min(F.struct("set_key", "n", "pos")).alias("head")).where("members > 1")
+    heads = written(heads, "heads")
     met = written(met.join(heads, "token"), "headed")  # drops lists of one, which the filter may have passed
     bits = sets.where("bits is not null").groupBy("set_key").agg(F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits"), F.min("doc_id").alias("holder"))
     bits = written(bits, "bits")
