@@ -1,8 +1,13 @@
 """Quality rules with a verdict on each host.
 
-Base rules count words, symbols, repeated lines and repeated word windows of every whole text. Failures
-are then summed by host (``source``), each host's failure rate is shrunk towards the corpus by an
-empirical beta prior, and the verdict on the host is joined back to its documents.
+Base rules count words, symbols, repeated lines and repeated word windows of every whole text. The failures of
+each rule are then summed by host (``source``), each host's failure rate is shrunk towards the corpus by an
+empirical beta prior, and the verdicts on the host are joined back to its documents.
+
+The prior of a rule has the corpus' failure rate as its mean; its strength comes from how far the hosts' rates
+scatter beyond chance, each host weighing by its documents. A host is poor by a rule if its shrunk rate shows that
+its documents pass less than half as often as those of the corpus; then none of them is kept. Where
+hosts differ by chance only, the prior is strong and no host is poor.
 
 Defined results: a null text is an empty one (no words, so it fails the rule on length); a null host is
 a host of its own; repeated rows and ids are judged one by one; an empty table gives an empty result;
@@ -24,8 +29,11 @@ SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-#: A host is rejected when its shrunk failure rate is above this.
-MAX_HOST_RATE = 0.8
+#: Share of the corpus' pass rate under which a host is poor.
+MIN_PASS_SHARE = 0.5
+MAX_DUP_LINES = 2
+#: Strength of a prior (in documents) when hosts don't scatter beyond chance.
+STRONGEST = 1e6
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 _SYMBOL = np.zeros(256, bool)
@@ -80,31 +88,57 @@ def counted(docs: DataFrame, host: str = "source") -> DataFrame:
     return docs.select("doc_id", F.col(host).cast("string").alias("host"), "text").mapInArrow(tidy(run), "doc_id long, host string, " + ", ".join(f"{k} long" for k in COUNTS))
 
 
+def rules() -> dict[str, F.Column]:
+    """Whether a document fails each rule, from its counts; the first two are the base rules."""
+    return {
+        "few_words": F.col("n_words") < MIN_WORDS,
+        "repeated_words": F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT,
+        "symbols": F.col("n_symbols") * 10 > F.col("word_chars"),
+        "repeated_lines": F.col("n_dup_lines") > MAX_DUP_LINES,
+    }
+
+
 def base_failed() -> F.Column:
-    return (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
+    found = rules()
+    return found["few_words"] | found["repeated_words"]
+
+
+def host_verdicts(rated: DataFrame, names: tuple[str, ...], min_share: float = MIN_PASS_SHARE) -> DataFrame:
+    """host, n_docs, rate_<rule> (shrunk) and host_reasons (the rules by which it is poor) from rows (host, a flag for each rule).
+
+    Rows are summed before any shuffle; one row of sums of all hosts reaches the driver.
+    """
+    hosts = written(rated.groupBy("host").agg(F.count("*").alias("n_docs"), *(F.sum(F.col(r).cast("long")).alias(r) for r in names)), "hosts")
+    n = F.col("n_docs").cast("double")
+    sums = hosts.agg(F.count("*").alias("h"), F.sum(n).alias("n"), F.sum(n * n).alias("nn"), *(F.sum(r).alias(f"x_{r}") for r in names), *(F.sum(F.col(r) * F.col(r) / n).alias(f"q_{r}") for r in names)).first()
+    poor = []
+    for r in names:
+        mean, strength = prior(sums["h"], sums["n"] or 0.0, sums["nn"] or 0.0, sums[f"x_{r}"] or 0, sums[f"q_{r}"] or 0.0)
+        hosts = hosts.withColumn(f"rate_{r}", (F.col(r) + F.lit(strength * mean)) / (n + F.lit(strength)))
+        poor.append(F.when(1 - F.col(f"rate_{r}") < F.lit(min_share * (1 - mean)), F.lit(r)))
+    return hosts.select("host", "n_docs", *(f"rate_{r}" for r in names), F.concat_ws(",", *poor).alias("host_reasons"))
 
 
-def host_verdicts(rated: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """host, n_docs, n_failed, host_rate, host_ok from rows (host, base_failed).
+def prior(hosts: int, n: float, nn: float, failed: float, squares: float) -> tuple[float, float]:
+    """Mean and strength of a rule's beta prior: from the sums over hosts of n, n * n, failures and failures^2 / n.
 
-    The prior's mean is the mean of the hosts' rates and its strength comes from their variance (method of
-    moments), between 1 and 1,000,000 pseudo documents. Rows are summed before any shuffle.
+    The scatter of the rates, weighted by n, is held against what chance alone gives (analysis of variance).
     """
-    hosts = written(rated.groupBy("host").agg(F.count("*").alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed")), "hosts")
-    rate = F.col("n_failed") / F.col("n_docs")
-    mean, variance = hosts.agg(F.avg(rate), F.var_pop(rate)).first()
-    strength = min(1e6, max(1.0, mean * (1 - mean) / variance - 1)) if variance else 1e6
-    shrunk = hosts.withColumn("host_rate", (F.col("n_failed") + F.lit(strength * (mean or 0.0))) / (F.col("n_docs") + F.lit(strength)))
-    return shrunk.select("host", "n_docs", "n_failed", "host_rate", (F.col("host_rate") <= max_rate).alias("host_ok"))
+    mean = failed / n if n else 0.0
+    spread, room = mean * (1 - mean), n - (nn / n if n else 0.0) - (hosts - 1)
+    if spread <= 0 or room <= 0:
+        return mean, STRONGEST
+    shared = ((squares - n * mean * mean) / spread - (hosts - 1)) / room
+    return mean, min(STRONGEST, 1 / shared - 1) if 0 < shared < 1 else STRONGEST if shared <= 0 else 0.0
 
 
-def judged(docs: DataFrame, host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """Counts, base_failed, host_rate and kept for every document.
+def judged(docs: DataFrame, host: str = "source", min_share: float = MIN_PASS_SHARE) -> DataFrame:
+    """Counts, base_failed, kept, host and host_reasons for every document.
 
     The counts are written once; verdicts join them back on the host, whose rows are dealt by Spark's
     skew join where one host holds a large share.
     """
-    rated = written(counted(docs, host).withColumn("base_failed", base_failed()), "quality")
-    hosts = host_verdicts(rated, max_rate).withColumnRenamed("host", "h")
+    rated = written(counted(docs, host).withColumns(rules()).withColumn("base_failed", base_failed()), "quality")
+    hosts = written(host_verdicts(rated, tuple(rules()), min_share), "verdicts").withColumnRenamed("host", "h")
     joined = rated.join(hosts, F.col("host").eqNullSafe(F.col("h")), "left")
-    return joined.select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & F.col("host_ok")).alias("kept"), "host", "host_rate")
+    return joined.select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & (F.col("host_reasons") == "")).alias("kept"), "host", "host_reasons")

@@ -42,7 +42,7 @@ def op7_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judged(table(spark, sf_dir, "documents")).drop("host", "host_rate")
+    return quality.judged(table(spark, sf_dir, "documents")).drop("host")
 
 
 def op9_weighted_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,13 +84,14 @@ ORACLES = {
                      len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
                      coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
               FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id)),
-        f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c),
-        h AS (SELECT host, count(*) AS n, sum(base_failed::INT) AS x FROM f GROUP BY host),
-        p AS (SELECT avg(x / n) AS m, var_pop(x / n) AS v FROM h),
-        k AS (SELECT m, CASE WHEN v > 0 THEN least(1e6, greatest(1.0, m * (1 - m) / v - 1)) ELSE 1e6 END AS k FROM p),
-        ok AS (SELECT host, (x + k * m) / (n + k) <= 0.8 AS host_ok FROM h, k)
-        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_ok AS kept
-        FROM f JOIN ok ON f.host IS NOT DISTINCT FROM ok.host""",
+        f AS (SELECT *, n_words < 10 AS r1, 100 * n_repeat_words > 20 * n_words AS r2, n_symbols * 10 > word_chars AS r3, n_dup_lines > 2 AS r4 FROM c),
+        h AS (SELECT host, count(*)::DOUBLE AS n, unnest([{{'r': 1, 'x': sum(r1::INT)}}, {{'r': 2, 'x': sum(r2::INT)}}, {{'r': 3, 'x': sum(r3::INT)}}, {{'r': 4, 'x': sum(r4::INT)}}], recursive := true) FROM f GROUP BY host),
+        p AS (SELECT r, count(*) AS h, sum(n) AS n, sum(n * n) AS nn, sum(x) / sum(n) AS m, sum(x * x / n) AS q FROM h GROUP BY r),
+        s AS (SELECT r, m, CASE WHEN m * (1 - m) > 0 AND n - nn / n - (h - 1) > 0 THEN ((q - n * m * m) / (m * (1 - m)) - (h - 1)) / (n - nn / n - (h - 1)) ELSE 0 END AS rho FROM p),
+        k AS (SELECT r, m, CASE WHEN rho <= 0 THEN 1e6 WHEN rho >= 1 THEN 0 ELSE least(1e6, 1 / rho - 1) END AS k FROM s),
+        v AS (SELECT host, string_agg(CASE WHEN 1 - (x + k * m) / (n + k) < 5e-1 * (1 - m) THEN ['few_words', 'repeated_words', 'symbols', 'repeated_lines'][r] END, ',' ORDER BY r) AS reasons FROM h JOIN k USING (r) GROUP BY host)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, r1 OR r2 AS base_failed, NOT (r1 OR r2) AND reasons IS NULL AS kept, coalesce(reasons, '') AS host_reasons
+        FROM f JOIN v ON f.host IS NOT DISTINCT FROM v.host""",
     "op9_weighted_mixing": rf"""
         WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size, coalesce(text, '') AS text,
                           (('0x' || substr(md5('17:' || doc_id), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM documents),

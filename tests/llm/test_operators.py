@@ -269,9 +269,47 @@ def test_decontamination(spark, odd, none):
     assert got == brute_leaks(docs.collect(), items.collect())
     assert {r.doc_id for r in decontamination.cleaned(docs, items).collect()} == {3, 4, 5}
     assert decontamination.cleaned(odd, items).count() == len(ODD) and decontamination.cleaned(none, items).count() == 0
+    clashing = odd.withColumns({c: odd.mark for c in ("id", "m", "_id", "_m", "windows", "hashes", "item")})
+    assert decontamination.cleaned(clashing, items).columns == clashing.columns and decontamination.cleaned(clashing, items).count() == len(ODD)
     assert decontamination.hits(docs, items.where("item_id > 2")).count() == 0 and decontamination.cleaned(odd, items).columns == odd.columns
 
 
+def test_decontamination_of_a_table(spark):
+    """Every pair of sf0.01 against windows of every item over every text."""
+    docs, items = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
+    split = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    ids, want = {}, set()
+    grams = lambda w, k: np.array([ids.setdefault(tuple(w[i : i + k]), len(ids)) for i in range(len(w) - k + 1)], np.int64)
+    held = [(r.item_id, split(r.text)) for r in items.collect()]
+    texts = [(r.doc_id, split(r.text)) for r in docs.collect()]
+    for item, w in held:
+        k = min(5, len(w))
+        mine = grams(w, k)
+        if not len(mine):
+            continue
+        kinds, need = np.unique(mine, return_counts=True)
+        known = {tuple(w[i : i + k]) for i in range(len(mine))}
+        for doc, d in texts:
+            if not any(tuple(d[i : i + k]) in known for i in range(len(d) - k + 1)):
+                continue
+            theirs, size = grams(d, k), min(len(w), len(d)) - k + 1
+            for a in range(max(1, len(d) - len(w) + 1)):
+                part = theirs[a : a + size]
+                same = sum(min(int((part == x).sum()), int(c)) for x, c in zip(kinds, need))
+                if 100 * same >= 80 * (len(mine) + len(part) - same):
+                    want.add((doc, item))
+                    break
+    got = {(r.doc_id, r.item_id) for r in decontamination.hits(docs, items).collect()}
+    assert got == want and len(want) > 10
+
+
+def test_decontamination_shuffles_no_words(spark, docs):
+    items = decontamination.written(decontamination.items_of(spark.read.parquet(f"{DIR}/benchmark.parquet")), "items")
+    plan = decontamination.windows_of(docs, items)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert plan.dtypes[2][1].startswith("array<struct<item:bigint") and "collect_set(at" in text and "BroadcastHashJoin" in text
+
+
 def test_decontamination_of_replaced_ends(spark):
     """Similarity 0.804 each; in about one of 200 the fingerprints are more than 16 bits apart."""
     items = [[f"i{j}w{i}" for i in range(50)] for j in range(40)]
@@ -315,6 +353,42 @@ def test_quality(spark, odd, none):
     assert kept == set(range(60))
 
 
+def test_poor_hosts(spark, tmp_path):
+    """Among 40 plain hosts of any size, two poor ones; one document of them fails no base rule and is dropped for its host."""
+    rng = random.Random(7)
+    line = lambda: " ".join(rng.choice(["river", "stone", "green", "walk", "seven", "about", "under"]) + str(rng.randrange(999)) for _ in range(20))
+    made = []
+    for h in range(40):
+        for _ in range(rng.choice([1, 3, 30, 200])):
+            made.append(("plain" + str(h), "too short" if rng.random() < 0.08 else line()))
+    made += [("signs", line() if i % 10 == 0 else "#" * 40 + " " + line()) for i in range(80)]
+    made += [("lines", "\n".join([line()] * 4 + [line() for _ in range(30)]) if i % 8 else line()) for i in range(300)]
+    made += [("one", "too short"), (None, line())]
+    docs = spark.createDataFrame([(i, t, h) for i, (h, t) in enumerate(made)], "doc_id long, text string, source string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op8_host_quality(spark, str(tmp_path)).collect()
+    reasons = {made[r.doc_id][0]: r.host_reasons for r in got}
+    assert reasons["signs"] == "symbols" and reasons["lines"] == "repeated_lines" and not any(v for k, v in reasons.items() if k and k.startswith("plain"))
+    differ = [r for r in got if r.kept != (not r.base_failed)]
+    assert len(differ) > 300 and {made[r.doc_id][0] for r in differ} == {"signs", "lines"}
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(queries.ORACLES["op8_host_quality"])
+    order = [want.columns.index(c) for c in queries.op8_host_quality(spark, str(tmp_path)).columns]
+    assert sorted(map(tuple, got)) == sorted(tuple(r[i] for i in order) for r in want.fetchall())
+
+
+def test_prior_of_hosts():
+    assert quality.prior(0, 0.0, 0.0, 0, 0.0) == (0.0, quality.STRONGEST) and quality.prior(1, 10.0, 100.0, 3, 0.9) == (0.3, quality.STRONGEST)
+    rng = np.random.default_rng(3)
+    n = rng.integers(1, 400, 3000)
+    x = rng.binomial(n, rng.beta(2, 18, 3000))
+    mean, strength = quality.prior(len(n), float(n.sum()), float((n * n).sum()), int(x.sum()), float((x * x / n).sum()))
+    assert abs(mean - 0.1) < 0.005 and 17 < strength < 24
+
+
 def test_mixing(spark, odd, none, docs):
     sizes = spark.createDataFrame([("a", 10), ("b", 10), ("c", 1000), (None, 10)], "source string, source_size long")
     got = {r.source: r for r in mixing.targets(sizes).collect()}
