@@ -2,10 +2,14 @@
 
 Numbers and dates that pass the check of their kind are mapped to others of the same format that pass it
 too. The map of a kind is one permutation for a key, so equal values stay equal across documents and
-different values stay different. Kinds, tried in this order at each place: email, iban (mod 97; of a run of
-groups the part of its country's length, else the longest that passes), date
-(calendar), ip (octets), ssn (area, group, serial), phone, card (13 to 19 digits; the Luhn remainder is
-kept, so valid numbers stay valid). Where a check fails, other kinds are sought from the next character on.
+different values stay different. Kinds, tried in this order at each place: email (local part of at most 64
+characters; it and the domain but for its last label are mapped apart, so equal domains stay equal too), iban (mod 97; of a run of
+groups the part of its country's length, else the longest that passes), date (calendar; one map whatever the order of day, month and
+year, within the dates up to the 12th and those after it, as the order can be read from the latter only), ip (octets), ssn (area,
+group, serial), phone (an exchange from 200 on, digits that aren't all one), card (13 to 19 digits, Luhn). Mapped values pass
+the same checks. Where a check fails the value is left as it is, and other kinds are sought from the next character on.
+
+The key is the caller's: who has it can undo the map. Patterns are bounded, so a text takes time in proportion to its length.
 
 Defined results: a null text stays null with counts 0; an empty text stays empty; repeated rows are treated
 each; other columns are ignored.
@@ -26,11 +30,10 @@ from flightloom.llm._text import pieces, strings, tidy
 
 ROUNDS = 10
 KINDS = ("email", "iban", "date", "ip", "ssn", "phone", "card")
-DEFAULT_KEY = b"flightloom pseudonyms"
 
 # The forms in which the kinds are written.
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9][A-Za-z0-9-]*(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9][A-Za-z0-9-]{0,62}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,63}",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b",
     "date": r"(?<![0-9./-])(?:(?:1[0-9]|20)[0-9]{2}(?P<a>[-/.])[0-9]{2}(?P=a)[0-9]{2}|[0-9]{2}(?P<b>[-/.])[0-9]{2}(?P=b)(?:1[0-9]|20)[0-9]{2})(?![0-9]|[./-][0-9])",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
@@ -116,7 +119,7 @@ def _refill(shape: str, digits: str) -> str:
 class Pseudonymiser:
     """Finds and replaces the values of a text. A mapped value is found and valid again, so it can be undone."""
 
-    def __init__(self, key: bytes = DEFAULT_KEY, back: bool = False):
+    def __init__(self, key: bytes, back: bool = False):
         made = Permutation(hmac.new(key, b"feistel", hashlib.sha256).digest())
         self.move = made.backward if back else made.forward
 
@@ -141,7 +144,8 @@ class Pseudonymiser:
 
     def email(self, value: str) -> str:
         name, _, domain = value.partition("@")
-        return f"{self._mixed(name, b'email')}@{domain}"
+        host, _, top = domain.rpartition(".")
+        return f"{self._mixed(name, b'email')}@{self._mixed(host, b'domain')}.{top}"
 
     def iban(self, value: str) -> str | None:
         plain = value.replace(" ", "")
@@ -166,13 +170,10 @@ class Pseudonymiser:
             break
         else:
             return None
-        # Day and month both up to 12 read the same both ways round; the order is part of the format only beyond.
-        order = b"ymd" if first else b"dmy" if not month_first else b"mdy"
-        while True:
-            day = FIRST_DAY + self.move(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, b"date" + order)
+        late, new = d > 12, None
+        while new is None or (new.day > 12) != late:
+            day = FIRST_DAY + self.move(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, b"date")
             new = date.fromordinal(day)
-            if order != b"mdy" or new.day > 12:
-                break
         y, m, d = f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}"
         sep = value[4] if first else value[2]
         return sep.join((y, m, d) if first else (m, d, y) if month_first else (d, m, y))
@@ -197,16 +198,26 @@ class Pseudonymiser:
             if self._ssn_ok(digits):
                 return _refill(value, digits)
 
-    def phone(self, value: str) -> str:
+    @staticmethod
+    def _phone_ok(digits: str) -> bool:
+        return digits[3] >= "2" and len(set(digits)) > 1
+
+    def phone(self, value: str) -> str | None:
         digits = re.sub("[^0-9]", "", value)
-        made = self.move(int(digits[-10:]), 10**10, b"phone")
-        return _refill(value, digits[:-10] + f"{made:010d}")
+        own = digits[-10:]
+        if not self._phone_ok(own):
+            return None
+        while True:
+            own = f"{self.move(int(own), 10**10, b'phone'):010d}"
+            if self._phone_ok(own):
+                return _refill(value, digits[:-10] + own)
 
-    def card(self, value: str) -> str:
+    def card(self, value: str) -> str | None:
         digits = re.sub("[^0-9]", "", value)
-        rest = luhn(digits)
-        body = f"{self.move(int(digits[:-1]), 10 ** (len(digits) - 1), b'card' + bytes([len(digits), rest])):0{len(digits) - 1}d}"
-        last = next(str(d) for d in range(10) if luhn(body + str(d)) == rest)
+        if luhn(digits):
+            return None
+        body = f"{self.move(int(digits[:-1]), 10 ** (len(digits) - 1), b'card' + bytes([len(digits)])):0{len(digits) - 1}d}"
+        last = next(str(d) for d in range(10) if not luhn(body + str(d)))
         return _refill(value, body + last)
 
     def text(self, text: str | None) -> tuple[str | None, list[int]]:
@@ -214,7 +225,6 @@ class Pseudonymiser:
         counts = [0] * len(KINDS)
         if not text or not _HINT.search(text):
             return text, counts
-
         out, done, at = [], 0, 0
         while m := FINDER.search(text, at):
             kind = next(k for k in KINDS if m[k] is not None)
@@ -229,7 +239,7 @@ class Pseudonymiser:
         return "".join([*out, text[done:]]), counts
 
 
-def pseudonymised(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
+def pseudonymised(docs: DataFrame, key: bytes) -> DataFrame:
     """doc_id, text with pseudonyms, and n_<kind> for every whole text."""
 
     def run(batches):

@@ -9,8 +9,12 @@ from flightloom.llm import decontamination, language, mixing, ngram_join, pseudo
 from flightloom.llm._io import table
 
 
+#: Setting with the secret of the pseudonyms. Without it the query takes a public key, so that test runs agree: anyone can undo those.
+KEY_SETTING, PUBLIC_KEY = "spark.flightloom.pseudonyms.key", "public, for tests"
+
+
 def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonyms.pseudonymised(table(spark, sf_dir, "documents"))
+    return pseudonyms.pseudonymised(table(spark, sf_dir, "documents"), spark.conf.get(KEY_SETTING, PUBLIC_KEY).encode())
 
 
 def op2_grammar_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,9 @@ ODD = [
 ]
 
 
+KEY = b"key of the tests"
+
+
 @pytest.fixture(scope="module")
 def odd(spark):
     return spark.createDataFrame(ODD, SCHEMA)
@@ -49,7 +52,7 @@ def words(text):
 
 def test_pseudonyms(spark, odd, none):
     text = "a.b7@mail.example.com +1 (017) 555-7713 4111 1111 1111 1111 152.143.123.131 999.1.1.1 2024-02-29 31/12/1999 2023-02-30 123-45-6789 GB82 WEST 1234 5698 7654 32"
-    forth, back = pseudonyms.Pseudonymiser(), pseudonyms.Pseudonymiser(back=True)
+    forth, back = pseudonyms.Pseudonymiser(KEY), pseudonyms.Pseudonymiser(KEY, back=True)
     made, counts = forth.text(text)
     assert dict(zip(pseudonyms.KINDS, counts)) == {"email": 1, "iban": 1, "date": 2, "ip": 1, "ssn": 1, "phone": 1, "card": 1}
     assert back.text(made)[0] == text and "999.1.1.1" in made and "2023-02-30" in made and "4111 1111" not in made
@@ -60,20 +63,83 @@ def test_pseudonyms(spark, odd, none):
     rng = random.Random(3)
     for _ in range(300):
         digits = "".join(rng.choice("0123456789") for _ in range(rng.randint(13, 19)))
-        assert back.text(forth.text(digits)[0])[0] == digits and pseudonyms.luhn(forth.text(digits)[0]) == pseudonyms.luhn(digits)
-    got = {(r.doc_id, r.text) for r in pseudonyms.pseudonymised(odd).collect()}
-    assert got == {(r[0], r[1]) for r in ODD} and rows(pseudonyms.pseudonymised(none)) == []
+        made = forth.text(digits)[0]
+        assert back.text(made)[0] == digits and pseudonyms.luhn(made) == pseudonyms.luhn(digits) and (made == digits) == (pseudonyms.luhn(digits) > 0)
+    got = {(r.doc_id, r.text) for r in pseudonyms.pseudonymised(odd, KEY).collect()}
+    assert got == {(r[0], r[1]) for r in ODD} and rows(pseudonyms.pseudonymised(none, KEY)) == []
+
+
+def test_pseudonyms_take_valid_values_only():
+    forth, back = pseudonyms.Pseudonymiser(KEY), pseudonyms.Pseudonymiser(KEY, back=True)
+    for text in ("order no. 1234567890123", "epoch 1700000000000", "000-000-0000", "555-555-5555", "555-012-3456", "2023-02-30", "13/13/2024", "666-12-3456", "256.1.1.1"):
+        assert forth.text(text)[0] == text
+    forms = ["2024-02-29", "29/02/2024", "02/29/2024", "2024.02.29", "29-02-2024"]
+    made = [forth.text(f)[0] for f in forms]
+    y, m, d = made[0].split("-")
+    assert made == [f"{y}-{m}-{d}", f"{d}/{m}/{y}", f"{m}/{d}/{y}", f"{y}.{m}.{d}", f"{d}-{m}-{y}"] and [back.text(x)[0] for x in made] == forms
+    assert forth.text("2024-03-07")[0] == "-".join(reversed(forth.text("07/03/2024")[0].split("/"))) and int(forth.text("2024-03-07")[0][-2:]) <= 12
+    one, two, three = (forth.text(t)[0] for t in ("bob.smith@bobsmith.org", "ann@bobsmith.org", "bob.smith@other.org"))
+    assert "bob" not in one + two and one.split("@")[1] == two.split("@")[1] and one.split("@")[0] == three.split("@")[0] and one.endswith(".org") and back.text(one)[0] == "bob.smith@bobsmith.org"
+    assert pseudonyms.Pseudonymiser(b"other key").text("8.8.8.8")[0] != forth.text("8.8.8.8")[0]
+
+
+def test_pseudonyms_of_very_long_runs():
+    import time
+
+    made, began = pseudonyms.Pseudonymiser(KEY), time.time()
+    for unit in ("a", "a.", "1", "1.", "A1 ", "@", "a@b.", "1-", "AB12"):
+        text = "99 " + unit * (5_000_000 // len(unit) // (1 if unit == "a" else 20))
+        assert len(made.text(text)[0]) == len(text)
+    assert time.time() - began < 60
+
+
+def test_pseudonyms_against_a_plain_finder():
+    """Every kind tried by itself at every place, with checks of its own."""
+    rng, forth = random.Random(12), pseudonyms.Pseudonymiser(KEY)
+    luhn_ok = lambda v: sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(re.sub("[^0-9]", "", v)))) % 10 == 0
+
+    def dated(v):
+        import datetime
+
+        a, b, c = (int(x) for x in re.split("[-/.]", v))
+        for y, m, d in [(a, b, c)] if len(re.split("[-/.]", v)[0]) == 4 else [(c, b, a), (c, a, b)]:
+            try:
+                return bool(datetime.date(y, m, d))
+            except ValueError:
+                pass
+        return False
+
+    checks = {
+        "email": lambda v: True, "date": dated, "card": luhn_ok, "ip": lambda v: all(str(int(x)) == x and int(x) < 256 for x in v.split(".")),
+        "ssn": lambda v: re.fullmatch("(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}", v) is not None,
+        "phone": lambda v: re.sub("[^0-9]", "", v)[-7] > "1" and len(set(re.sub("[^0-9]", "", v)[-10:])) > 1,
+    }
+    parts = ["a.b@c.de", "@", "x@y", "2024-02-29", "2023-02-29", "31/12/1999", "12.31.1999", "4111 1111 1111 1111", "4111111111111112", "10.0.0.1", "300.1.1.1", "123-45-6789", "000-12-3456", "+1 (212) 555-0100", "212-055-0100", "word", "12", "3.", "-", " ", " ", ", ", "é"]
+    for _ in range(400):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 12)))
+        want, at = dict.fromkeys(pseudonyms.KINDS, 0), 0
+        while at < len(text):
+            for kind in pseudonyms.KINDS:
+                m = re.compile(pseudonyms.PATTERNS[kind]).match(text, at)
+                if m and kind != "iban":
+                    break
+            if m and checks[kind](m[0]):
+                want[kind] += 1
+                at = m.end()
+            else:
+                at += 1
+        assert dict(zip(pseudonyms.KINDS, forth.text(text)[1])) == want, text
 
 
 def test_pseudonyms_of_short_addresses():
-    forth, back = pseudonyms.Pseudonymiser(), pseudonyms.Pseudonymiser(back=True)
+    forth, back = pseudonyms.Pseudonymiser(KEY), pseudonyms.Pseudonymiser(KEY, back=True)
     made, counts = forth.text("8.8.8.8")
     assert made != "8.8.8.8" and sum(counts) == counts[pseudonyms.KINDS.index("ip")] == 1 and back.text(made)[0] == "8.8.8.8"
     assert forth.text("from 8.8.8.8 in 2024")[0] == f"from {made} in 2024"
 
 
 def test_pseudonyms_of_ibans_before_words():
-    forth, back = pseudonyms.Pseudonymiser(), pseudonyms.Pseudonymiser(back=True)
+    forth, back = pseudonyms.Pseudonymiser(KEY), pseudonyms.Pseudonymiser(KEY, back=True)
     which = lambda counts: {k: n for k, n in zip(pseudonyms.KINDS, counts) if n}
     for iban in ("BE68539007547034", "AT611904300234573201", "ES9121000418450200051332", "PL61109010140000071219812874", "DE89370400440532013000", "NO9386011117947"):
         for form in (iban, " ".join(iban[i : i + 4] for i in range(0, len(iban), 4))):
