@@ -6,7 +6,8 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 #: Rows in a batch for Python. With texts and token sets in the rows this bounds a worker's memory.
@@ -29,14 +30,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; one of our own only where none is set, as in tests."""
+    """spark.checkpoint.dir of the session; a folder of this machine only where none is set and all tasks run here."""
     held = spark.sparkContext.getCheckpointDir()
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or held
     if named is None:
-        named = held or f"file://{tempfile.mkdtemp(prefix='flightloom-')}"
-        spark.conf.set("spark.checkpoint.dir", named) if spark.conf.isModifiable("spark.checkpoint.dir") else None
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = f"file://{tempfile.mkdtemp(prefix='flightloom-')}"
     if held is None:
-        spark.sparkContext.setCheckpointDir(named)
+        spark.sparkContext.setCheckpointDir(named)  # also remembers a folder of our own
     return named
 
 
@@ -49,7 +51,28 @@ def written(frame: DataFrame, what: str) -> DataFrame:
     _small_batches(frame.sparkSession)
     path = new_folder(frame.sparkSession, what)
     frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    held = frame.sparkSession.read.schema(frame.schema).parquet(path)
+    held.written_to = path
+    return held
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads any more."""
+    for frame in frames:
+        context = frame.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(frame.written_to)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sample(rows: DataFrame, by: str, order: list, most: int, most_bytes: int, longest: int) -> DataFrame:
+    """Of each value of by the first rows in an order: at most so many, with at most so many bytes of text in all.
+
+    Texts longer than longest bytes are left out. Spark limits the groups within each task before it deals them out.
+    """
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    w = Window.partitionBy(by).orderBy(*order)
+    first = rows.where(size <= longest).withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
+    return first.withColumn("bytes", F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("bytes") <= most_bytes)
 
 
 def veiled(docs: DataFrame) -> tuple[DataFrame, dict[str, str], list[str]]:

@@ -5,8 +5,8 @@ its place in the lexicons of the languages; learned transitions join neighbourin
 Forward-backward gives each word's probabilities, so texts that switch between languages are labelled
 word by word. A text's score of a language is the mean of its words' probabilities.
 
-Training takes a bounded sample, at most ``PER_LANG`` texts per language, those with the least hash of
-their id. Half of the training lines are spliced from two languages, so that switches are learned.
+Training takes a bounded sample, at most ``PER_LANG`` texts and ``BYTES`` per language, those with the least hash of
+their id, for the ``LANGS`` most frequent languages. Half of the training lines are spliced from two languages, so that switches are learned.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; rows with a null
 language are predicted but not learned from; without any language to learn all are ``und``; a null id is
@@ -18,14 +18,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flightloom.llm._io import sample
 from flightloom.llm._text import Scan, mix, pieces, strings, tidy
 
 ORDERS = (1, 2, 3, 4, 5)
 CELLS = 1 << 17
 PER_LANG = 300
+#: Bounds of the sample beside PER_LANG: languages, bytes of a text, bytes of a language's texts.
+LANGS, LONGEST, BYTES = 64, 1 << 16, 4 << 20
 LEXICON = 500
 LINE = 40
 STEPS = 40
@@ -36,8 +39,10 @@ _LETTER = np.array([chr(i).isalpha() for i in range(1 << 16)])
 
 def _letters(codes: np.ndarray) -> np.ndarray:
     out = _LETTER[np.minimum(codes, (1 << 16) - 1)]
-    for i in np.flatnonzero(codes >= 1 << 16):
-        out[i] = chr(codes[i]).isalpha()
+    high = codes >= 1 << 16
+    if high.any():
+        kinds, back = np.unique(codes[high], return_inverse=True)
+        out[high] = np.array([chr(c).isalpha() for c in kinds.tolist()])[back]
     return out
 
 
@@ -233,16 +238,19 @@ def held_out() -> F.Column:
 
 
 def training_rows(docs: DataFrame, per_lang: int = PER_LANG) -> list:
-    """The bounded sample: (text, lang) of at most per_lang documents for each language."""
+    """The bounded sample: (text, lang) of at most per_lang documents for each of the LANGS most frequent languages.
+
+    Chosen by the least hash of doc_id, from ids and languages alone; then the texts are fetched, of which those over LONGEST
+    bytes are left out, and more than BYTES for a language.
+    """
     ids = docs.select("doc_id", "lang").where(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    chosen = None
-    for row in ids.groupBy("lang").count().orderBy("lang").collect():  # one row for each language
-        part = ids.where(F.col("lang") == row["lang"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_lang)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    if chosen is None:
-        return []
-    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen.distinct()), ["doc_id", "lang"])  # per_lang rows each
-    return rows.where("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "text").select("text", "lang").collect()
+    common = [r["lang"] for r in ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()]  # at most LANGS rows
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
+    chosen = ids.where(F.col("lang").isin(common)).withColumn("place", place).where(F.col("place") <= per_lang).select("doc_id", "lang").distinct()
+    rows = docs.select("doc_id", "lang", "text").where("text is not null").join(F.broadcast(chosen), ["doc_id", "lang"])  # at most LANGS * per_lang ids
+    rows = sample(rows, "lang", [*order, F.col("text")], per_lang, BYTES, LONGEST)
+    return rows.orderBy(*order, "lang", "text").select("text", "lang").collect()
 
 
 def labelled(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -7,7 +7,7 @@ order of exponential keys, -ln(u) / quality weight, and are taken as long as the
 words fits. Documents that still fit what is left are then taken in the same order, in ``PASSES`` passes, and at
 last one that goes over, if the sum comes nearer to the target with it.
 
-The running sums are made in two steps, over ``BUCKETS`` ranges of the key within each source and then
+The running sums are made in two steps, over ranges of the key's logarithm within each source and then
 within a range, so no task holds a whole source.
 
 Defined results: a null text has size 0 and is never taken; a null source is a source of its own and
@@ -20,12 +20,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flightloom.llm._io import written
+from flightloom.llm._io import veiled, written
 
 SEED = 17
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
-BUCKETS = 1024
+#: Ranges of the key for each doubling of it. Whatever the weights, one holds at most about a thousandth of its source.
+RANGES = 256
 PASSES = 3
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -72,7 +73,7 @@ def _same(left: str, right: str) -> Column:
     return F.col(left).eqNullSafe(F.col(right))
 
 
-def _fitting(rows: DataFrame, buckets: int) -> DataFrame:
+def _fitting(rows: DataFrame) -> DataFrame:
     """rows (with source, bucket, key, doc_id, size, budget, picked) with those picked that fit in this pass.
 
     Candidates are the rows not picked yet whose size fits; sums over ranges of the key come first.
@@ -90,17 +91,16 @@ def _fitting(rows: DataFrame, buckets: int) -> DataFrame:
     return taken.withColumn("picked", F.col("picked") | F.col("now")).drop("s", "b", "ahead", "may")
 
 
-def planned(docs: DataFrame, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_EPOCHS, buckets: int = BUCKETS, passes: int = PASSES) -> DataFrame:
+def planned(docs: DataFrame, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_EPOCHS, passes: int = PASSES) -> DataFrame:
     """doc_id, mark, source, size, source_size, target, times (how often the mix takes the document), taken."""
     rows = written(keyed(docs, seed), "keyed")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     goals = written(targets(sizes, weights, most), "targets")
     named = goals.select(F.col("source").alias("s"), "source_size", "target", "epochs", "budget")
     rows = rows.join(named, _same("source", "s")).drop("s")
-    bucket = F.least(F.lit(buckets - 1), F.floor((1 - F.exp(-F.col("key"))) * buckets)).cast("int")
-    rows = rows.withColumn("bucket", bucket).withColumn("picked", F.lit(False)).withColumn("now", F.lit(False))
+    rows = rows.withColumn("bucket", F.floor(F.log2("key") * RANGES).cast("int")).withColumn("picked", F.lit(False)).withColumn("now", F.lit(False))
     for _ in range(passes):
-        rows = written(_fitting(rows, buckets), "mix")
+        rows = written(_fitting(rows), "mix")
         spent = written(rows.where("now").groupBy("source").agg(F.sum("size").alias("spent")), "spent").withColumnRenamed("source", "s")
         rows = rows.join(spent, _same("source", "s"), "left").withColumn("budget", F.col("budget") - F.coalesce("spent", F.lit(0))).drop("s", "spent")
     # What is left may be nearer to a document that is too long than to nothing; the nearest one is then taken.
@@ -120,14 +120,16 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     equal in all three share the number of times planned for them.
     """
     plan = planned(docs, **options).groupBy("doc_id", "mark").agg(F.sum("times").alias("times"), F.count("*").alias("rows"))
-    plan = written(plan.where("times > 0").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_m"), "times", "rows"), "plan")
-    joined = docs.withColumn("_mark", mark()).join(plan, _same("doc_id", "_id") & (F.col("_mark") == F.col("_m")))
-    each = F.row_number().over(Window.partitionBy("_id", "_m").orderBy(F.lit(1)))
-    copies = F.when(F.col("rows") == 1, F.col("times")).otherwise(F.floor(F.col("times") / F.col("rows")) + (F.col("_nth") <= F.col("times") % F.col("rows")).cast("long"))
-    plain = joined.where("rows = 1").withColumn("_nth", F.lit(1))
-    again = joined.where("rows > 1").withColumn("_nth", each)
-    out = plain.unionByName(again).withColumn("_copies", copies.cast("int")).where("_copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*(F.col(c) for c in docs.columns))
+    plan = written(plan.where("times > 0").select(F.col("doc_id").alias("id"), F.col("mark").alias("m"), "times", "rows"), "plan")
+    plain, own, names = veiled(docs)
+    mine = F.xxhash64(own["text"], own["source"])
+    joined = plain.join(plan, F.col(own["doc_id"]).cast("long").eqNullSafe(F.col("id")) & (mine == F.col("m")))
+    each = F.row_number().over(Window.partitionBy("id", "m").orderBy(F.lit(1)))
+    copies = F.when(F.col("rows") == 1, F.col("times")).otherwise(F.floor(F.col("times") / F.col("rows")) + (F.col("nth") <= F.col("times") % F.col("rows")).cast("long"))
+    single = joined.where("rows = 1").withColumn("nth", F.lit(1))
+    several = joined.where("rows > 1").withColumn("nth", each)
+    out = single.unionByName(several).withColumn("copies", copies.cast("int")).where("copies > 0")
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*plain.columns).toDF(*names)
 
 
 def mark() -> Column:

@@ -8,7 +8,7 @@ Keys are 8 bytes, big-endian, sign bit flipped, so byte order is numeric order;
 and come first. Ids are little-endian unsigned 16-bit while all fit, else 32-bit.
 
 Defined results: null and empty texts hold the end id only; repeated ids are entries of their own, in
-order of their token ids; other columns are ignored; an empty table makes no shard and an empty result.
+order of their texts, and may begin in one shard and go on in the next; other columns are ignored; an empty table makes no shard and an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flightloom.llm._io import new_folder, written
@@ -35,7 +36,8 @@ BLOOM_BITS = 10
 BLOOM_PROBES = 7
 MAGIC = b"FLSSTAB1"
 FOOTER = struct.Struct("<QQQQQQ8s")
-SHARD_BYTES = 64 << 20
+#: Bytes of a shard (as it is packed) and of the texts of a task.
+SHARD_BYTES, PART_BYTES = 64 << 20, 32 << 20
 _WIDE_SPACE = re.compile("[\x85\xa0  -     　]")
 
 
@@ -296,79 +298,58 @@ def _open(folder: str):
     return pyarrow.fs.FileSystem.from_uri(folder)
 
 
-def encoded(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id and packed ids (with the end id) of every whole text."""
-
-    def run(batches):
-        encoder = encoder_of(tokenizer)
-        for batch in batches:
-            text = strings(batch.column(1))
-            for lo, hi in pieces(text):
-                packed = [pack_ids(np.append(x, np.uint32(end_id))) for x in encoder.encode(text[lo:hi])]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(packed, pa.binary())], ["doc_id", "ids"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, ids binary")
-
-
 def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, shard_bytes: int = SHARD_BYTES, end_id: int = END_ID) -> DataFrame:
-    """Writes all documents to shards and returns their manifest: shard, path, entries, n_ids.
+    """Writes all documents to shards and returns their manifest: part, number, path, entries, n_ids.
 
-    Shards are ranges of doc_id with about the same number of rows; only ids packed in 16 bits are
-    shuffled. A shard is written under a name of its own attempt and then moved, so a task that is run again
-    or twice leaves one whole file.
+    Spark deals the texts out by ranges of (doc_id, beginning of the text), whose bounds it samples; a task sorts its range,
+    encodes it and begins another shard whenever one has shard_bytes of ids, so long texts don't make long
+    shards. A shard is written under a name of its own attempt and then moved, so a task that is run again or twice leaves whole files.
     """
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "shards")
-    size, rows = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
-    shards = max(1, spark.sparkContext.defaultParallelism if (size or 0) > 1 << 20 else 1, -(-(size or 0) // shard_bytes))
-    bounds = []
-    if shards > 1:
-        cuts = [i / shards for i in range(1, shards)]
-        bounds = sorted(set(docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), cuts, 100 * shards)).first()[0] or []))
-    number = F.lit(0)
-    if bounds:  # one bound for each shard
-        number = F.coalesce(F.size(F.filter(F.lit(bounds).cast("array<bigint>"), lambda b: b < F.col("doc_id"))), F.lit(0))
-    dealt = encoded(docs, tokenizer, end_id).withColumn("shard", number.cast("int")).repartition(len(bounds) + 1, "shard")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, spark.sparkContext.defaultParallelism if size > 1 << 20 else 1, -(-size // PART_BYTES))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    key = F.col("doc_id").asc_nulls_first()
+    dealt = rows.repartitionByRange(parts, key, F.substring("text", 1, 64)).sortWithinPartitions(key, "text")
 
     def save(batches):
         system, root = _open(folder)
         system.create_dir(root, recursive=True)
-        shard, writer, out, name, n_ids = None, None, None, "", 0
+        encoder, part, number = encoder_of(tokenizer), TaskContext.get().partitionId(), 0
+        writer, out, name, n_ids = None, None, "", 0
 
         def finish():
             writer.close()
             out.close()
-            system.move(f"{root}/{name}", f"{root}/shard-{shard:06d}.sst")
-            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([f"shard-{shard:06d}.sst"]), pa.array([writer.entries], pa.int64()), pa.array([n_ids], pa.int64())], ["shard", "path", "entries", "n_ids"])
+            path = f"shard-{part:06d}-{number:04d}.sst"
+            system.move(f"{root}/{name}", f"{root}/{path}")
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([path]), pa.array([writer.entries], pa.int64()), pa.array([n_ids], pa.int64())], ["part", "number", "path", "entries", "n_ids"])
 
         for batch in batches:
-            for doc, ids, s in zip(*(c.to_pylist() for c in batch.columns)):
-                if s != shard:
-                    if writer:
+            text = strings(batch.column(1))
+            for lo, hi in pieces(text):
+                for doc, ids in zip(batch.column(0)[lo:hi].to_pylist(), encoder.encode(text[lo:hi])):
+                    if writer is None:
+                        name, n_ids = f"_part-{uuid.uuid4().hex}", 0
+                        out = system.open_output_stream(f"{root}/{name}")
+                        writer = Writer(out)
+                    writer.add(encode_key(doc), pack_ids(np.append(ids, np.uint32(end_id))))
+                    n_ids += len(ids) + 1
+                    if writer.at + len(writer.block) >= shard_bytes:
                         yield finish()
-                    shard, n_ids, name = s, 0, f"_part-{uuid.uuid4().hex}"
-                    out = system.open_output_stream(f"{root}/{name}")
-                    writer = Writer(out)
-                writer.add(encode_key(doc), ids)
-                n_ids += (len(ids) - 1) // ids[0]
+                        writer, number = None, number + 1
         if writer:
             yield finish()
 
-    done = dealt.sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids").select("doc_id", "ids", "shard").mapInArrow(tidy(save), "shard int, path string, entries long, n_ids long")
+    done = dealt.mapInArrow(tidy(save), "part int, number int, path string, entries long, n_ids long")
     return written(done, "manifest").withColumn("folder", F.lit(folder))
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the files alone."""
-    files = manifest.orderBy("shard").collect()  # one row for each file
-    spark = manifest.sparkSession
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
-    if not files:
-        return spark.createDataFrame([], schema)
-    begin, jobs = 0, []
-    for row in files:
-        jobs.append((row["folder"], row["path"], begin))
-        begin += row["n_ids"]
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the files alone; a task for each file."""
+    ahead = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    listed = manifest.select("folder", "path", F.coalesce(F.sum("n_ids").over(ahead), F.lit(0)).alias("start"))
 
     def load(batches):
         for batch in batches:
@@ -386,8 +367,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    listed = spark.createDataFrame(jobs, "folder string, path string, start long").repartition(len(jobs), "path")
-    return listed.mapInArrow(tidy(load), schema)
+    return listed.repartition(max(1, manifest.count())).mapInArrow(tidy(load), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def default_tokenizer() -> str:

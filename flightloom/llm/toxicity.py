@@ -3,7 +3,7 @@
 Features are the distinct character n-grams (4 to 6 code points of the lower-cased text with a space
 before and after, hashed to 2^20 cells). Each feature's value is its log-count ratio between the labels;
 a logistic regression learns one weight per feature on top. The training set is a bounded sample:
-at most ``PER_LABEL`` documents of label 0 and of label 1, those with the least hash of their id. Every text is
+at most ``PER_LABEL`` documents of label 0 and of label 1 and ``BYTES`` of each, those with the least hash of their id. Every text is
 scored as a whole.
 
 Defined results: a null or empty text has no n-grams and gets the score of the bias alone; rows without
@@ -16,14 +16,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flightloom.llm._io import sample
 from flightloom.llm._text import pieces, strings, tidy
 
 ORDERS = (4, 5, 6)
 CELLS = 1 << 20
 PER_LABEL = (3200, 1600)
+#: Bounds of the sample beside PER_LABEL: bytes of a text, bytes of a label's texts.
+LONGEST, BYTES = 1 << 16, 16 << 20
 FEATURES = 1 << 15
 MIN_DOCS = 3
 SMOOTH = 0.5
@@ -133,15 +136,19 @@ def held_out(folds: int, fold: int) -> F.Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, per_label: tuple[int, int] = PER_LABEL, folds: int = 5) -> list:
-    """The bounded sample: (text, toxic) of at most per_label documents for each label."""
+    """The bounded sample: (text, toxic) of at most per_label documents for each label.
+
+    Ids are chosen by their least hash; of the texts with these ids those over LONGEST bytes are left out, and more
+    than per_label or BYTES of a label where ids repeat or texts are long.
+    """
     ids = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(~held_out(folds, 0))
-    order = F.xxhash64("doc_id")
-    chosen = None
-    for label in (0, 1):
-        part = ids.where(F.col("toxic") == label).orderBy(order, "doc_id").limit(per_label[label])
-        chosen = part if chosen is None else chosen.unionByName(part)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most sum(per_label) rows
-    return rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").select("text", "toxic").collect()
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    most = F.when(F.col("toxic") == 1, per_label[1]).otherwise(per_label[0])
+    place = F.row_number().over(Window.partitionBy("toxic").orderBy(*order))
+    chosen = ids.where(F.col("toxic").isin(0, 1)).withColumn("place", place).where((F.col("place") <= max(per_label)) & (F.col("place") <= most)).select("doc_id", "toxic")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most sum(per_label) ids
+    rows = sample(rows, "toxic", [*order, F.col("text")], max(per_label), BYTES, LONGEST)
+    return rows.orderBy(*order, "text").select("text", "toxic").collect()
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

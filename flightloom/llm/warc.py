@@ -151,15 +151,18 @@ def records(source) -> Iterator[dict]:
 def with_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
     """page_id, url, html and refers_to (null: response).
 
-    The table of shared payloads has a row only where a digest occurs more than once; it is written
-    first, so the join is an ordinary one whose hot digests Spark splits.
+    The verdict is found on page_id and digest alone. Pages then meet the revisits on page_id and digest, so no digest
+    is hot where pages move, and nothing but pages moves where there are few revisits.
     """
     body = F.coalesce(F.col("html"), F.lit(""))
     named = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha2(body.cast("binary"), 256).alias("digest"))
-    shared = named.where(F.octet_length(F.coalesce("html", F.lit(""))) >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("least"), F.count("*").alias("n"))
+    large = named.where(F.octet_length(F.coalesce("html", F.lit(""))) >= min_bytes).select("page_id", "digest")
+    shared = large.groupBy("digest").agg(F.min("page_id").alias("least"), F.count("*").alias("n"))
     shared = written(shared.where("n > 1").select("digest", "least"), "shared")
-    refers = F.when(F.col("page_id").isNull() | (F.col("page_id") > F.col("least")), F.col("least"))
-    return named.join(shared, "digest", "left").select("page_id", "url", "html", refers.alias("refers_to"))
+    revisits = large.join(shared, "digest").where("least is not null and (page_id is null or page_id > least)").distinct()
+    revisits = written(revisits.select("digest", "page_id", "least"), "revisits").toDF("d", "p", "refers_to")
+    same = (F.col("digest") == F.col("d")) & F.col("page_id").eqNullSafe(F.col("p"))
+    return named.join(revisits, same, "left").select("page_id", "url", "html", "refers_to")
 
 
 def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
@@ -185,8 +188,9 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
     return written(saved, "archives").withColumn("folder", F.lit(folder))
 
 
-def read_archives(archives: DataFrame, files: int = 64) -> DataFrame:
-    """A row for each record of the archives named by (folder, path)."""
+def read_archives(archives: DataFrame, files: int | None = None) -> DataFrame:
+    """A row for each record of the archives named by (folder, path); as many tasks as archives unless files is given."""
+    files = files or max(1, archives.count())
 
     def load(batches):
         keys = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]

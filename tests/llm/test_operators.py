@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from flightloom.llm import components, decontamination, language, mixing, ngram_join, pseudonyms, quality, queries, secret_scan, sstable, toxicity, warc
 from flightloom.llm._text import pieces, strings
@@ -322,9 +323,8 @@ def test_sstable(spark, odd, none, docs, tmp_path):
 
     tokenizer = Tokenizer.from_file(sstable.default_tokenizer())
     for frame in (odd, docs):
-        held = sorted(((r.doc_id, r.text or "") for r in frame.collect()), key=lambda r: (r[0] is not None, r[0] or 0))
+        held = sorted(((r.doc_id, r.text or "") for r in frame.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
         coded = [(d, np.append(tokenizer.encode(t, add_special_tokens=False).ids, 2).astype("<u4")) for d, t in held]
-        coded.sort(key=lambda r: (r[0] is not None, r[0] or 0, sstable.pack_ids(r[1])))
         want, start = [], 0
         for d, ids in coded:
             want.append((d, start, len(ids), zlib.crc32(ids.tobytes())))
@@ -345,6 +345,34 @@ def test_sstable(spark, odd, none, docs, tmp_path):
         assert [sstable.decode_key(k) for k, _ in reader.scan()][:3] == [-500, -497, -494]
 
 
+def test_shards_of_few_bytes_and_one_id(spark):
+    """Small shards and parts: whole order, and lookup of an id that many rows repeat over several shards."""
+    import pyarrow.fs
+
+    texts = [(i // 40 if i % 3 else 7, f"text {i} " + "word " * (i % 50)) for i in range(600)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    manifest = sstable.write_shards(frame, sstable.default_tokenizer(), shard_bytes=2000)
+    files = manifest.orderBy("part", "number").collect()
+    got = sorted(rows(sstable.read_shards(manifest)), key=lambda r: r[1])
+    assert len(files) > 5 and [r[0] for r in got] == sorted(d for d, _ in texts) and all(a[1] + a[2] == b[1] for a, b in zip(got, got[1:]))
+    system, root = sstable._open(files[0].folder)
+    found = []
+    for f in files:
+        with system.open_input_file(f"{root}/{f.path}") as source:
+            found += sstable.Reader(source).get(7)
+    assert len(found) == sum(d == 7 for d, _ in texts)
+
+
+def test_samples_are_bounded(spark):
+    """Repeated ids, long texts and many languages don't lengthen what reaches the driver."""
+    docs = spark.createDataFrame([(i % 50, "x" * (20 if i % 7 else 70_000) + str(i), f"l{i % 200:03d}") for i in range(2000)], "doc_id long, text string, lang string")
+    got = language.training_rows(docs, 2)
+    assert len({r.lang for r in got}) <= language.LANGS and len(got) <= 2 * language.LANGS and all(len(r.text) < 70_000 for r in got)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, toxic int")
+    got = toxicity.training_rows(docs, labels, (5, 3))
+    assert collections.Counter(r.toxic for r in got) == {0: 5, 1: 5} and all(len(r.text) < 70_000 for r in got)
+
+
 def test_encoder_on_odd_spaces():
     encoder = sstable.Encoder(sstable.default_tokenizer())
     texts = ["", "  a  b ", "x  y  z", "it's a  \n test <|endoftext|> z\n\n q", " lead", "a", "a ", "\n x", "日本 語 é", "a  b", "a  b", "end. ", " ", "a b c a b c"]
@@ -518,6 +546,15 @@ def test_mixing(spark, odd, none, docs):
     assert len(rows(mixing.planned(odd))) == len(ODD) and rows(mixing.planned(none)) == []
     assert mixing.mixed(docs).count() == sum(r.times for r in plan) and mixing.mixed(odd).columns == odd.columns and mixing.mixed(none).count() == 0
     assert mixing.mixed(odd).count() == sum(r.times for r in mixing.planned(odd).collect())
+    clashing = odd.withColumns({c: odd.mark for c in ("id", "m", "times", "rows", "nth", "copies", "copy", "_mark", "key", "s", "budget")})
+    assert mixing.mixed(clashing).columns == clashing.columns and mixing.mixed(clashing).count() == mixing.mixed(odd).count()
+
+
+def test_mixing_ranges_hold_few(spark):
+    """Texts of the least weight spread over ranges like others."""
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("# # # x").alias("text"), F.lit("a").alias("source"))
+    ranges = mixing.keyed(docs).select(F.floor(F.log2("key") * mixing.RANGES).alias("b")).groupBy("b").count()
+    assert ranges.agg(F.max("count")).first()[0] < 60
 
 
 def brute_components(docs, percent=85):
