@@ -1,8 +1,8 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
 Features are the distinct character n-grams (4 to 6 code points of the lower-cased text with a space
-before and after, hashed to 2^20 cells). Each feature's value is its log-count ratio between the labels;
-a logistic regression learns one weight per feature on top. The training set is a bounded sample:
+before and after, hashed to 2^20 cells) whose log-count ratio between the labels is surely not 0, as chance ratios would
+add up in long texts. Each feature's value is its ratio; a logistic regression learns one weight per feature on top. The training set is a bounded sample:
 at most ``PER_LABEL`` documents of label 0 and of label 1 and ``BYTES`` of each, those with the least hash of their id. Every text is
 scored as a whole.
 
@@ -27,8 +27,10 @@ CELLS = 1 << 20
 PER_LABEL = (3200, 1600)
 #: Bounds of the sample beside PER_LABEL: bytes of a text, bytes of a label's texts.
 LONGEST, BYTES = 1 << 16, 16 << 20
-FEATURES = 1 << 15
+FEATURES = 1 << 14
 MIN_DOCS = 3
+#: Standard errors that an n-gram's log-count ratio must be off 0.
+SURE = 3.5
 SMOOTH = 0.5
 RIDGE = 2e-3
 STEPS = 200
@@ -104,7 +106,8 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     p, q = SMOOTH + toxic, SMOOTH + seen - toxic
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
     ratio -= np.log((SMOOTH + y.sum()) / p.sum()) - np.log((SMOOTH + len(y) - y.sum()) / q.sum())  # per document
-    weight = np.where(seen >= MIN_DOCS, np.abs(ratio) * np.sqrt(np.minimum(seen, len(y) - seen)), 0)
+    sure = np.abs(ratio) / np.sqrt(1 / p + 1 / q)  # the ratio in its standard errors
+    weight = np.where((seen >= MIN_DOCS) & (sure >= SURE), sure, 0)
     chosen = np.sort(np.argsort(-weight, kind="stable")[:FEATURES])
     chosen = chosen[weight[chosen] > 0]
     place = np.full(CELLS, -1, np.int32)
