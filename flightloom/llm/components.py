@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flightloom.llm._io import written
+from flightloom.llm._io import discard, written
 from flightloom.llm._text import tidy
 
 #: Edges that are merged within a task before the steps begin.
@@ -73,10 +73,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     edges = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = written(edges, "edges")
     parts = max(1, -(-edges.count() // MERGED))
-    edges = written(_merged(edges, parts), "merged")
+    given, edges = edges, written(_merged(edges, parts), "merged")
+    discard(given)
     state = _state(edges)
     for _ in range(rounds):
-        edges = written(_star(_star(edges, True), False), "edges")
+        last, edges = edges, written(_star(_star(edges, True), False), "edges")
+        discard(last)
         now = _state(edges)
         if now == state:
             return _stars(edges)

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flightloom.llm._io import veiled, written
+from flightloom.llm._io import discard, veiled, written
 
 SEED = 17
 WEIGHTS = (1, 2, 3)
@@ -93,14 +93,17 @@ def _fitting(rows: DataFrame) -> DataFrame:
 
 def planned(docs: DataFrame, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_EPOCHS, passes: int = PASSES) -> DataFrame:
     """doc_id, mark, source, size, source_size, target, times (how often the mix takes the document), taken."""
-    rows = written(keyed(docs, seed), "keyed")
+    rows = keyed_rows = written(keyed(docs, seed), "keyed")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     goals = written(targets(sizes, weights, most), "targets")
     named = goals.select(F.col("source").alias("s"), "source_size", "target", "epochs", "budget")
     rows = rows.join(named, _same("source", "s")).drop("s")
     rows = rows.withColumn("bucket", F.floor(F.log2("key") * RANGES).cast("int")).withColumn("picked", F.lit(False)).withColumn("now", F.lit(False))
+    before = [keyed_rows]
     for _ in range(passes):
         rows = written(_fitting(rows), "mix")
+        discard(*before)
+        before = [rows]
         spent = written(rows.where("now").groupBy("source").agg(F.sum("size").alias("spent")), "spent").withColumnRenamed("source", "s")
         rows = rows.join(spent, _same("source", "s"), "left").withColumn("budget", F.col("budget") - F.coalesce("spent", F.lit(0))).drop("s", "spent")
     # What is left may be nearer to a document that is too long than to nothing; the nearest one is then taken.

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flightloom.llm._io import release, veiled, written
+from flightloom.llm._io import discard, release, veiled, written
 from flightloom.llm._text import Scan, grams, mix, pieces, strings, tidy
 from flightloom.llm.components import components
 
@@ -348,7 +348,8 @@ def units_of(met: DataFrame, roots: DataFrame, unit: int = UNIT) -> DataFrame:
     rows = written(rows.select("token", "head", "set_key", "n", F.coalesce("root", "set_key").alias("comp")), "rows")
     # A written table's size is known, so Spark broadcasts a short one and long lists aren't dealt out by their token.
     lists = written(rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token"), "lists")
-    rows = written(rows.join(lists, "token", "left_semi").select("head", "set_key", "n", "comp").distinct(), "open")
+    every, rows = rows, written(rows.join(lists, "token", "left_semi").select("head", "set_key", "n", "comp").distinct(), "open")
+    discard(every, lists)
     weight = F.greatest(F.lit(1.0), F.col("n") * 2.0 / BITS)
     blocks = F.when(F.col("w") <= unit, 1).otherwise(F.ceil(F.sqrt(F.col("w") * 4.0 / unit))).cast("int")
     sizes = written(rows.groupBy("head").agg(F.sum(weight).alias("w")).select("head", blocks.alias("blocks")), "sizes")
@@ -438,20 +439,27 @@ def linked_classes(sets: DataFrame, percent: int = PERCENT, unit: int = UNIT) ->
     several = postings(sets, levels, percent).groupBy("token").agg(F.count("*").alias("members")).where("members > 1").select("token")
     among = spark.sparkContext.broadcast(key_filter(several))
     release(spark)
-    met = written(postings(sets, levels, percent, among).distinct(), "met")
-    heads = met.groupBy("token").agg(F.count("*").alias("members"), F.min(F.struct("set_key", "n", "pos")).alias("head")).where("members > 1")
+    filed = written(postings(sets, levels, percent, among).distinct(), "filed")
+    heads = filed.groupBy("token").agg(F.count("*").alias("members"), F.min(F.struct("set_key", "n", "pos")).alias("head")).where("members > 1")
     heads = written(heads, "heads")
-    met = written(met.join(heads, "token"), "headed")  # drops lists of one, which the filter may have passed
+    met = written(filed.join(heads, "token"), "met")  # drops lists of one, which the filter may have passed
+    discard(filed, heads)
     bits = sets.where("bits is not null").groupBy("set_key").agg(F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits"), F.min("doc_id").alias("holder"))
     bits = written(bits, "bits")
-    pairs = written(plausible(written(star_pairs(met, percent), "stars"), bits, percent), "pairs")
+    stars = written(star_pairs(met, percent), "stars")
+    pairs = written(plausible(stars, bits, percent), "pairs")
     keys = written(pairs.select("a", "ha").union(pairs.select("b", "hb")).distinct(), "keys")
-    links = written(confirmed(pairs, tokens_of(keys, sets), percent), "links")
+    tokens = tokens_of(keys, sets)
+    links = written(confirmed(pairs, tokens, percent), "links")
     roots = components(links)
+    discard(stars, pairs, keys, tokens, links)
     release(spark)
     members = written(partnered(units_of(met.where("members > 2"), roots, unit), bits, percent), "members")  # a list of two has no other pair
-    tokens = tokens_of(written(members.select("set_key", "holder").distinct(), "keys"), sets)
+    discard(met, bits)
+    keys = written(members.select("set_key", "holder").distinct(), "keys")
+    tokens = tokens_of(keys, sets)
     more = written(forests(members, tokens, percent), "links")
+    discard(members, keys, tokens)
     release(spark)
     return components(roots.toDF("a", "b").unionByName(more))
 
@@ -463,12 +471,14 @@ def classed(docs: DataFrame, n: int = WORD_GRAM, percent: int = PERCENT) -> Data
     """
     sets = written(sets_of(docs, n), "sets")
     roots = linked_classes(sets, percent)
-    named = sets.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("least"))
+    rows = written(sets.select("doc_id", "mark", "n_shingles", "set_key"), "rows")
+    discard(sets)
+    named = rows.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("least"))
     named = named.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
     named = written(named.select("set_key", "root", "least"), "named")
     least = written(named.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     by_set = written(named.join(least, "root").select("set_key", "component_id", F.col("root").alias("group")), "by-set")
-    rows = sets.select("doc_id", "mark", "n_shingles", "set_key")
+    discard(named, least)
     return rows.join(by_set, "set_key", "left").select("doc_id", "mark", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "group")
 
 
