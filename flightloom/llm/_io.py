@@ -6,7 +6,7 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -64,6 +64,19 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def low_hash(id_column: str, by: str, counts: dict, most: int) -> Column:
+    """Whether a row may be among the least hashes of its value of by, most of them; false for other values.
+
+    counts: rows by value. Of values with many rows those pass whose hash is under a bound that about four times as many
+    as wanted stay under, so few rows are dealt out to be ordered, however many there are.
+    """
+    if not counts:
+        return F.lit(False)
+    bounds = {v: (1 << 63) - 1 if n <= 4 * most else -(1 << 63) + (4 * most << 64) // n for v, n in counts.items()}
+    known = F.create_map(*(F.lit(x) for pair in bounds.items() for x in pair))
+    return F.coalesce(F.xxhash64(id_column) <= F.try_element_at(known, F.col(by)), F.lit(False))
+
+
 def sample(rows: DataFrame, by: str, order: list, most: int, most_bytes: int, longest: int) -> DataFrame:
     """Of each value of by the first rows in an order: at most so many, with at most so many bytes of text in all.
 

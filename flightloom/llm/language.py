@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flightloom.llm._io import sample
+from flightloom.llm._io import low_hash, sample
 from flightloom.llm._text import Scan, mix, pieces, strings, tidy
 
 ORDERS = (1, 2, 3, 4, 5)
@@ -29,6 +29,8 @@ CELLS = 1 << 17
 PER_LANG = 300
 #: Bounds of the sample beside PER_LANG: languages, bytes of a text, bytes of a language's texts.
 LANGS, LONGEST, BYTES = 64, 1 << 16, 4 << 20
+#: Bytes of text that are labelled together; a word that repeats among them is scored once.
+PIECE = 1 << 20
 LEXICON = 500
 LINE = 40
 STEPS = 40
@@ -244,10 +246,10 @@ def training_rows(docs: DataFrame, per_lang: int = PER_LANG) -> list:
     bytes are left out, and more than BYTES for a language.
     """
     ids = docs.select("doc_id", "lang").where(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    common = [r["lang"] for r in ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()]  # at most LANGS rows
+    common = {r["lang"]: r["count"] for r in ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()}  # at most LANGS rows
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     place = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
-    chosen = ids.where(F.col("lang").isin(common)).withColumn("place", place).where(F.col("place") <= per_lang).select("doc_id", "lang").distinct()
+    chosen = ids.where(low_hash("doc_id", "lang", common, per_lang)).withColumn("place", place).where(F.col("place") <= per_lang).select("doc_id", "lang").distinct()
     rows = docs.select("doc_id", "lang", "text").where("text is not null").join(F.broadcast(chosen), ["doc_id", "lang"])  # at most LANGS * per_lang ids
     rows = sample(rows, "lang", [*order, F.col("text")], per_lang, BYTES, LONGEST)
     return rows.orderBy(*order, "lang", "text").select("text", "lang").collect()
@@ -260,7 +262,7 @@ def labelled(docs: DataFrame, model: Model | None) -> DataFrame:
     def run(batches):
         for batch in batches:
             text = strings(batch.column(2))
-            for lo, hi in pieces(text):
+            for lo, hi in pieces(text, PIECE):
                 found, score = held.value.predict(text[lo:hi]) if held.value else ([UNKNOWN] * (hi - lo), np.zeros(hi - lo))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi].cast(pa.int64()), batch.column(1)[lo:hi], pa.array(found, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 

@@ -42,7 +42,7 @@ from flightloom.llm.components import components
 CELLS = 1 << 22
 CHUNK = 1 << 16
 #: Weight of a unit that one task takes whole; a set weighs 1, and more from ``BITS`` / 2 shingles on.
-UNIT = 128
+UNIT = 32
 BITS = 1024
 WIDEST = 1 << 22
 WORD_GRAM = 4

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flightloom.llm._io import sample
+from flightloom.llm._io import low_hash, sample
 from flightloom.llm._text import pieces, strings, tidy
 
 ORDERS = (4, 5, 6)
@@ -148,7 +148,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_label: tuple[int, int]
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     most = F.when(F.col("toxic") == 1, per_label[1]).otherwise(per_label[0])
     place = F.row_number().over(Window.partitionBy("toxic").orderBy(*order))
-    chosen = ids.where(F.col("toxic").isin(0, 1)).withColumn("place", place).where((F.col("place") <= max(per_label)) & (F.col("place") <= most)).select("doc_id", "toxic")
+    counts = {r["toxic"]: r["count"] for r in ids.where(F.col("toxic").isin(0, 1)).groupBy("toxic").count().collect()}  # two rows
+    chosen = ids.where(low_hash("doc_id", "toxic", counts, max(per_label))).withColumn("place", place).where((F.col("place") <= max(per_label)) & (F.col("place") <= most)).select("doc_id", "toxic")
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most sum(per_label) ids
     rows = sample(rows, "toxic", [*order, F.col("text")], max(per_label), BYTES, LONGEST)
     return rows.orderBy(*order, "text").select("text", "toxic").collect()

@@ -376,6 +376,20 @@ def test_shards_of_few_bytes_and_one_id(spark):
     assert len(found) == sum(d == 7 for d, _ in texts)
 
 
+def test_low_hashes(spark):
+    """The bound keeps the least hashes whole and few others."""
+    from flightloom.llm._io import low_hash
+
+    rows = spark.range(100_000).withColumn("v", F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b"))
+    counts = {r["v"]: r["count"] for r in rows.where("v is not null").groupBy("v").count().collect()}
+    kept = rows.where(low_hash("id", "v", counts, 100)).withColumn("h", F.xxhash64("id")).collect()
+    assert 600 < len(kept) < 1000 and {r.v for r in kept} == {"a", "b"}
+    for v in "ab":
+        want = [r.h for r in rows.where(F.col("v") == v).select(F.xxhash64("id").alias("h")).orderBy("h").limit(100).collect()]
+        assert sorted(r.h for r in kept if r.v == v)[:100] == want
+    assert rows.where(low_hash("id", "v", {}, 100)).count() == 0 and rows.where(low_hash("id", "v", {"a": 5}, 100)).count() == counts["a"]
+
+
 def test_samples_are_bounded(spark):
     """Repeated ids, long texts and many languages don't lengthen what reaches the driver."""
     docs = spark.createDataFrame([(i % 50, "x" * (20 if i % 7 else 70_000) + str(i), f"l{i % 200:03d}") for i in range(2000)], "doc_id long, text string, lang string")
