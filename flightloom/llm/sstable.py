@@ -36,6 +36,8 @@ BLOOM_BITS = 10
 BLOOM_PROBES = 7
 MAGIC = b"FLSSTAB1"
 FOOTER = struct.Struct("<QQQQQQ8s")
+#: Bytes of text that are encoded together.
+PIECE = 1 << 20
 #: Bytes of a shard (as it is packed) and of the texts of a task.
 SHARD_BYTES, PART_BYTES = 64 << 20, 32 << 20
 _WIDE_SPACE = re.compile("[\x85\xa0  -     　]")
@@ -203,6 +205,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # In a byte-level vocabulary each character of an entry stands for one byte.
+        self.bytes_of = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())], np.int64)
         self._forget()
 
     def _forget(self) -> None:
@@ -218,10 +222,10 @@ class Encoder:
         all_ids, all_sizes = [], []
         for lo in range(0, len(words), self.SLICE):  # what the library returns takes much more room than the ids
             part = words[lo : lo + self.SLICE]
-            encoded = self.tokenizer.encode(b"".join(part).decode(), add_special_tokens=False)
-            begins = np.array(encoded.offsets, np.int64).reshape(-1, 2)[:, 0]
-            edges = np.cumsum([len(w.decode()) for w in part])
-            all_ids.append(np.array(encoded.ids, np.uint32))
+            ids = self._whole([b"".join(part).decode()])[0]
+            begins = np.cumsum(self.bytes_of[ids]) - self.bytes_of[ids]  # no id reaches over two words
+            edges = np.cumsum([len(w) for w in part])
+            all_ids.append(ids)
             all_sizes.append(np.bincount(np.searchsorted(edges, begins, "right"), minlength=len(part)))
         ids, sizes = np.concatenate(all_ids), np.concatenate(all_sizes)
         while self.used + len(ids) > len(self.ids):
@@ -328,7 +332,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, sha
 
         for batch in batches:
             text = strings(batch.column(1))
-            for lo, hi in pieces(text):
+            for lo, hi in pieces(text, PIECE):
                 for doc, ids in zip(batch.column(0)[lo:hi].to_pylist(), encoder.encode(text[lo:hi])):
                     if writer is None:
                         name, n_ids = f"_part-{uuid.uuid4().hex}", 0
