@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import math
 import tempfile
 import uuid
 
@@ -67,12 +68,13 @@ def discard(*frames: DataFrame) -> None:
 def low_hash(id_column: str, by: str, counts: dict, most: int) -> Column:
     """Whether a row may be among the least hashes of its value of by, most of them; false for other values.
 
-    counts: rows by value. Of values with many rows those pass whose hash is under a bound that about four times as many
-    as wanted stay under, so few rows are dealt out to be ordered, however many there are.
+    counts: rows by value. Of values with many rows those pass whose hash is under a bound under which some more than
+    wanted are expected, by eight standard deviations, so few rows are dealt out to be ordered, however many there are.
     """
     if not counts:
         return F.lit(False)
-    bounds = {v: (1 << 63) - 1 if n <= 4 * most else -(1 << 63) + (4 * most << 64) // n for v, n in counts.items()}
+    wanted = most + 8 * math.isqrt(most) + 64
+    bounds = {v: (1 << 63) - 1 if n <= wanted else -(1 << 63) + (wanted << 64) // n for v, n in counts.items()}
     known = F.create_map(*(F.lit(x) for pair in bounds.items() for x in pair))
     return F.coalesce(F.xxhash64(id_column) <= F.try_element_at(known, F.col(by)), F.lit(False))
 

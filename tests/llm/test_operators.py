@@ -383,7 +383,7 @@ def test_low_hashes(spark):
     rows = spark.range(100_000).withColumn("v", F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b"))
     counts = {r["v"]: r["count"] for r in rows.where("v is not null").groupBy("v").count().collect()}
     kept = rows.where(low_hash("id", "v", counts, 100)).withColumn("h", F.xxhash64("id")).collect()
-    assert 600 < len(kept) < 1000 and {r.v for r in kept} == {"a", "b"}
+    assert 400 < len(kept) < 700 and {r.v for r in kept} == {"a", "b"}
     for v in "ab":
         want = [r.h for r in rows.where(F.col("v") == v).select(F.xxhash64("id").alias("h")).orderBy("h").limit(100).collect()]
         assert sorted(r.h for r in kept if r.v == v)[:100] == want
