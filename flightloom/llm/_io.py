@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from flightloom.llm._text import trim
 
 #: Rows in a batch for Python. With texts and token sets in the rows this bounds a worker's memory.
 BATCH_ROWS = 1000
@@ -20,8 +21,9 @@ def _small_batches(spark: SparkSession) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of steps that nothing refers to any more."""
+    """Lets Spark remove the shuffle files of steps that nothing refers to any more, and gives the driver's free memory back."""
     gc.collect()
+    trim()
     spark.sparkContext._jvm.System.gc()
 
 

@@ -133,6 +133,15 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + shift
 
 
+def trim() -> None:
+    """Gives this process' free memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not every C library has it
+        pass
+
+
 def tidy(run):
     """A function for mapInArrow or mapInPandas that gives its memory back to the system when its task ends.
 
@@ -144,10 +153,6 @@ def tidy(run):
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except AttributeError:  # not every C library has it
-                pass
+            trim()
 
     return inner

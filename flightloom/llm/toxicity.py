@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flightloom.llm._io import low_hash, sample
+from flightloom.llm._io import low_hash, release, sample
 from flightloom.llm._text import pieces, strings, tidy
 
 ORDERS = (4, 5, 6)
@@ -32,6 +32,8 @@ MIN_DOCS = 3
 #: Standard errors that an n-gram's log-count ratio must be off 0.
 SURE = 3.5
 SMOOTH = 0.5
+#: Texts of the sample whose features are held and summed together while it is learned from.
+SLICE = 128
 RIDGE = 2e-3
 STEPS = 200
 _K = np.uint64(0xD6E8FEB86659FD93)
@@ -93,43 +95,44 @@ class Model:
 def fit(texts: list[str], labels: list[int]) -> Model:
     """Fits the classifier; the same rows in the same order give the same model."""
     y = np.array(labels, np.float64)
-    blank = np.zeros(CELLS)
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
-        return Model(blank, np.log(max(share, 1e-13) / max(1 - share, 1e-13)))
+        return Model(np.zeros(CELLS, np.float32), np.log(max(share, 1e-13) / max(1 - share, 1e-13)))
     # Two passes over the sample, so that only the chosen features of all its texts are held at once.
-    seen, toxic = np.zeros(CELLS), np.zeros(CELLS)
-    for text, label in zip(texts, y):
+    seen, toxic = np.zeros(CELLS, np.int32), np.zeros(CELLS, np.int32)
+    for text, label in zip(texts, labels):
         cells = features(text)
         seen[cells] += 1
         toxic[cells] += label
-    p, q = SMOOTH + toxic, SMOOTH + seen - toxic
-    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
-    ratio -= np.log((SMOOTH + y.sum()) / p.sum()) - np.log((SMOOTH + len(y) - y.sum()) / q.sum())  # per document
+    chosen = np.flatnonzero(seen >= MIN_DOCS)
+    p, q = SMOOTH + toxic[chosen], SMOOTH + seen[chosen] - toxic[chosen]
+    ratio = np.log(p / (SMOOTH + y.sum())) - np.log(q / (SMOOTH + len(y) - y.sum()))  # of the shares of documents
     sure = np.abs(ratio) / np.sqrt(1 / p + 1 / q)  # the ratio in its standard errors
-    weight = np.where((seen >= MIN_DOCS) & (sure >= SURE), sure, 0)
-    chosen = np.sort(np.argsort(-weight, kind="stable")[:FEATURES])
-    chosen = chosen[weight[chosen] > 0]
+    best = np.sort(np.argsort(-sure, kind="stable")[: min(FEATURES, int((sure >= SURE).sum()))])
+    chosen, ratio = chosen[best], ratio[best]
     place = np.full(CELLS, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
-    kept = [(at := place[features(x)])[at >= 0] for x in texts]
-    rows = np.repeat(np.arange(len(kept), dtype=np.int32), [len(x) for x in kept])
-    cols = np.concatenate(kept)
-    del kept
-    values = ratio[chosen].astype(np.float32)[cols]
+    del seen, toxic, p, q, sure, best
+    # Slices of the sample as (first text, features of each text, all features) in a narrow type.
+    parts = []
+    for lo in range(0, len(texts), SLICE):
+        kept = [(at := place[features(x)])[at >= 0].astype(np.uint16 if FEATURES <= 1 << 16 else np.int32) for x in texts[lo : lo + SLICE]]
+        parts.append((lo, np.array([len(x) for x in kept]), np.concatenate(kept)))
     balance = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
     w, bias = np.full(len(chosen), 0.02), 0.0
     m, v, t = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1), 0
     for _ in range(STEPS):
-        margin = np.bincount(rows, values * w[cols], len(y)) + bias
+        scaled = w * ratio
+        margin = np.concatenate([np.diff(np.concatenate([[0.0], np.cumsum(scaled[cols])])[np.concatenate([[0], np.cumsum(sizes)])]) for _, sizes, cols in parts]) + bias
         miss = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y) * balance / len(y)
-        grad = np.append(np.bincount(cols, values * miss[rows], len(chosen)) + RIDGE * w, miss.sum())
+        slope = sum(np.bincount(cols, np.repeat(miss[lo : lo + SLICE], sizes), len(chosen)) for lo, sizes, cols in parts)
+        grad = np.append(ratio * slope + RIDGE * w, miss.sum())
         t += 1
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         step = 0.03 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         w, bias = w - step[:-1], bias - step[-1]
-    weights = blank
-    weights[chosen] = w * ratio[chosen]
+    weights = np.zeros(CELLS, np.float32)
+    weights[chosen] = w * ratio
     return Model(weights, bias)
 
 
@@ -171,7 +174,12 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 def trained(docs: DataFrame, labels: DataFrame) -> Model:
     rows = training_rows(docs, labels)
-    return fit([r.text or "" for r in rows], [r.toxic for r in rows])
+    texts, toxic = [r.text or "" for r in rows], [r.toxic for r in rows]
+    del rows
+    model = fit(texts, toxic)
+    del texts
+    release(docs.sparkSession)  # the driver goes on with other work
+    return model
 
 
 def filtered(docs: DataFrame, model: Model) -> DataFrame:
