@@ -221,7 +221,8 @@ def tile_join(s, d):
 
 def segment_bounds(s, d):
     made = intervals.kinematics(cut(s, d).select("idx", "t", "latitude", "longitude", "altitude"), ["idx"])
-    return intervals.segments(made, ["idx"]).select("idx", _r("start"), _r("end"))
+    micros = lambda c: F.round(F.col(c) * 1e6).cast("long").alias(f"{c}_us")
+    return intervals.segments(made, ["idx"]).select("idx", micros("start"), micros("end"))
 
 
 def airspeed(s, d):
@@ -480,7 +481,7 @@ ORACLES = {
     "cube_interp": _with(_TRACK, _WIND) + "SELECT event_id, round(wind_u, 4) AS wind_u, round(wind_v, 4) AS wind_v FROM wind",
     "cube_interp_masked": _with(_TRACK, _ROUGH) + "SELECT event_id, CASE WHEN abs(u) <= 200 AND abs(v) <= 200 THEN round(u, 4) END AS wind_u, CASE WHEN abs(u) <= 200 AND abs(v) <= 200 THEN round(v, 4) END AS wind_v FROM rough",
     "tile_join": _with(_TRACK, f"c AS (SELECT event_id, latitude, strftime(make_timestamp(us), '%Y-%m-%d') AS date, {_SW} FROM track)", "n AS (SELECT *, 'N(' || least(90, south + 20) || ')W(' || west || ')S(' || greatest(-90, south) || ')E(' || least(180, west + 20) || ')' AS grid_id FROM c)") + "SELECT event_id, grid_id, date, (grid_id, date) IN (SELECT (grid_id, date) FROM n WHERE latitude >= 0 AND date <= '2024-01-20') AS has_tile FROM n",
-    "segment_bounds": _with(_TRACK, _LABELS, _CUT, "p AS (SELECT idx, t, lead(t) OVER (PARTITION BY idx ORDER BY t) - t AS dt FROM cut)") + 'SELECT idx, round(min(t), 4) AS "start", round(max(t) + round_even(greatest(1e-3, arg_max(dt, t)) * 1e2, 0) / 1e2, 4) AS "end" FROM p WHERE dt IS NOT NULL GROUP BY idx',
+    "segment_bounds": _with(_TRACK, _LABELS, _CUT, "p AS (SELECT idx, t, lead(t) OVER (PARTITION BY idx ORDER BY t) - t AS dt FROM cut)") + 'SELECT idx, round(min(t) * 1e6)::BIGINT AS start_us, round((max(t) + round_even(greatest(1e-3, arg_max(dt, t)) * 1e2, 0) / 1e2) * 1e6)::BIGINT AS end_us FROM p WHERE dt IS NOT NULL GROUP BY idx',
     "airspeed": _with(_TRACK, _WIND, _KIN, "b AS (SELECT k.*, wind_u, wind_v, row_number() OVER (PARTITION BY k.user_id ORDER BY k.t) AS rn FROM kin k JOIN wind USING (event_id))", f"a AS (SELECT *, {_near('wind_u', 't', 'rn')} FROM b)", "u AS (SELECT * EXCLUDE (tl, vl, tr, vr), coalesce(wind_u, vl + (vr - vl) * ((rn - tl) / (tr - tl)::DOUBLE), vl, vr, 0) AS fu FROM a)", f"v AS (SELECT *, {_near('wind_v', 't', 'rn')} FROM u)") + "SELECT event_id, round(gs_ve - fu, 3) AS as_u, round(gs_vn - coalesce(wind_v, vl + (vr - vl) * ((rn - tl) / (tr - tl)::DOUBLE), vl, vr, 0), 3) AS as_v FROM v",
     "coverage_report": _with(_TRACK, _WIND) + "SELECT CASE WHEN grouping(kind) = 1 THEN 'TOTAL' ELSE kind END AS aircraft_type, count(*) AS rows, count(wind_u) AS matched, round(count(wind_u) / count(*), 4) AS ratio FROM (SELECT coalesce(n_name, 'UNKNOWN') AS kind, wind_u FROM wind LEFT JOIN (SELECT s_suppkey, n_name FROM supplier JOIN nation ON n_nationkey = s_nationkey) c ON s_suppkey = user_id) GROUP BY ROLLUP (kind)",
     "specific_energy": _with(_TRACK) + "SELECT event_id, round(altitude * 0.3048::DOUBLE + (latitude * latitude + longitude * longitude) / 19.6133::DOUBLE, 4) AS energy FROM track",
