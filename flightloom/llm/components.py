@@ -38,10 +38,11 @@ def _merged(edges: DataFrame, parts: int) -> DataFrame:
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Each node points its larger (large) or smaller-or-equal (small) neighbours to the least of them.
+    """Each node points its larger (large) or smaller-or-equal (small) neighbours to the least of them; edges: a written table, deleted.
 
     The least neighbour comes from an aggregate, so a node with many neighbours is summed before the
-    shuffle; the join back is an ordinary one that Spark can split where one node is hot.
+    shuffle. It is written before the join back: Spark splits a hot node's rows only where both sides of a join are
+    dealt out for the join itself, and broadcasts a table that it knows to be short.
     """
     if large:
         links = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -51,8 +52,11 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         links = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = links.groupBy("a").agg(F.min("b").alias("m"))
         kept = links.unionByName(edges.select(F.greatest("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    least = written(least, "least")
     pairs = kept.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    made = written(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    discard(edges, least)
+    return made
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -77,8 +81,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     discard(given)
     state = _state(edges)
     for _ in range(rounds):
-        last, edges = edges, written(_star(_star(edges, True), False), "edges")
-        discard(last)
+        edges = _star(_star(edges, True), False)
         now = _state(edges)
         if now == state:
             return _stars(edges)

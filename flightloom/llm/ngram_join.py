@@ -315,8 +315,11 @@ def plausible(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(tidy(run), "a long, b long, ha long, hb long")
 
 
-def confirmed(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link, compared exactly; tokens: set_key, tokens."""
+def confirmed(pairs: DataFrame, first: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets link, compared exactly; tokens: set_key, tokens; first: those of the sets a.
+
+    All three are written tables, so that Spark can split the pairs of a hot a, which carry the tokens of b.
+    """
 
     def run(batches):
         for batch in batches:
@@ -332,7 +335,7 @@ def confirmed(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
 
     pairs = pairs.select("a", "b")
     right = tokens.select(F.col("set_key").alias("b"), F.col("tokens").alias("right")).join(pairs, "b")
-    left = tokens.select(F.col("set_key").alias("a"), F.col("tokens").alias("left")).join(pairs.select("a").distinct(), "a", "left_semi")
+    left = first.select(F.col("set_key").alias("a"), F.col("tokens").alias("left"))
     return right.join(left, "a").select("a", "b", "left", "right").mapInArrow(tidy(run), "a long, b long")
 
 
@@ -450,9 +453,10 @@ def linked_classes(sets: DataFrame, percent: int = PERCENT, unit: int = UNIT) ->
     pairs = written(plausible(stars, bits, percent), "pairs")
     keys = written(pairs.select("a", "ha").union(pairs.select("b", "hb")).distinct(), "keys")
     tokens = tokens_of(keys, sets)
-    links = written(confirmed(pairs, tokens, percent), "links")
+    first = written(tokens.join(pairs.select(F.col("a").alias("set_key")).distinct(), "set_key", "left_semi"), "first")
+    links = written(confirmed(pairs, first, tokens, percent), "links")
     roots = components(links)
-    discard(stars, pairs, keys, tokens, links)
+    discard(stars, pairs, keys, tokens, first, links)
     release(spark)
     members = written(partnered(units_of(met.where("members > 2"), roots, unit), bits, percent), "members")  # a list of two has no other pair
     discard(met, bits)

@@ -699,6 +699,29 @@ def test_components(spark, monkeypatch, merged):
     assert got == {1: 1, 2: 1, 3: 1, 5: 5, 6: 5, 7: 5, 8: 5, 9: 5}
 
 
+def test_hot_node_is_split(spark, monkeypatch):
+    """The join of a star step is one that Spark can split where a node has most of the edges."""
+    small = {"autoBroadcastJoinThreshold": "-1", "adaptive.advisoryPartitionSizeInBytes": "8k", "adaptive.coalescePartitions.enabled": "false", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "8k", "adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    plans, real = [], components.written
+
+    def spied(frame, what):
+        frame.collect()
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return real(frame, what)
+
+    monkeypatch.setattr(components, "written", spied)
+    for name, value in small.items():
+        spark.conf.set(f"spark.sql.{name}", value)
+    try:
+        edges = real(spark.range(20000, numPartitions=4).selectExpr("id as a", "-5L as b").union(spark.range(3000).selectExpr("id + 70000 as a", "id as b")), "edges")
+        made = components._star(edges, True)
+    finally:
+        for name in small:
+            spark.conf.unset(f"spark.sql.{name}")
+    assert any("skew=true" in plan for plan in plans)
+    assert {tuple(r) for r in made.collect()} == {(i, -5) for i in range(20000)} | {(i + 70000, min(i, -5)) for i in range(3000)}
+
+
 def test_pipeline_by_stages(spark, docs):
     """Each stage against its own brute-force version, on what the stage before it kept."""
     import corpus_pipeline as P
