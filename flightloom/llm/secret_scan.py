@@ -9,7 +9,8 @@ first; over depths both need ``EVIDENCE`` words. So the automata know prefixes,
 
 One more automaton is inferred from ordinary runs: words of the corpus (``WORDS`` runs of letters in the case of
 words, those with the least hash), and slugs, paths, names and numbers made of them by rule; nothing else of the corpus, as any
-other run may be a credential. Its states merge only where the same symbol leads to them.
+other run may be a credential. Its states merge only where the same symbol leads to them, and past the end of all words it
+begins again, so that long ordinary runs keep their score.
 
 Every candidate, a run of 16 or more credential characters that isn't within a base span, is scored by the best kind's
 log-likelihood per character, its end included, less that of the ordinary automaton. It is a secret of that kind if
@@ -18,8 +19,8 @@ of the inference: a quarter of the way from the high end of the ordinary scores
 low end of the credentials' (``MISSED`` of them are under it); the high end alone where the two cross.
 
 Defined results: null and empty texts have no spans (empty string, and the digest of nothing); positions
-are code points; a run over ``LONGEST`` characters has the format of no credential; repeated rows are scanned each; null ids
-pass through; other columns are ignored.
+are code points; runs of any length are scored (``LONGEST`` bounds the values of the sample only); repeated rows are scanned
+each; null ids pass through; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,6 +46,8 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 8, 16, 32
 
 MIN_CANDIDATE, LONGEST = 16, 4096
+#: Spans that are walked one by one rather than side by side, and the bytes of them that are held as lists at a time.
+ABREAST, BLOCK = 64, 1 << 12
 SAMPLE, WORDS = 400, 3000
 ORDINARY = "ordinary"
 ALPHA = 0.05
@@ -73,14 +76,36 @@ class Automaton:
 
     def __init__(self, move: np.ndarray, logp: np.ndarray, logend: np.ndarray):
         self.move, self.logp, self.logend = move, logp, logend
+        #: Where the next state's row begins in the flat tables, by place in them.
+        self._next = (move.astype(np.int64) * move.shape[1]).ravel().tolist()
+        self._stays = (move == np.arange(len(move))[:, None]).all(1).tolist()
+
+    def _walk(self, run: np.ndarray, state: int, total: float) -> tuple[int, float]:
+        """State and log-likelihood after the bytes of a run, added in their order as in the steps of likelihood."""
+        following, logp, width = self._next, self.logp.ravel(), self.move.shape[1]
+        row = state * width
+        for lo in range(0, len(run), BLOCK):
+            symbols, rows = _OF[run[lo : lo + BLOCK]], []
+            if self._stays[row // width]:
+                rows = row  # that of every symbol left
+            else:
+                for symbol in symbols.tolist():
+                    rows.append(row)
+                    row = following[row + symbol]
+            total = float(np.cumsum(np.concatenate([[total], logp[np.asarray(rows, np.int64) + symbols]]))[-1])
+        return row // width, total
 
     def likelihood(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Log-likelihood per character of each span with its end."""
+        """Log-likelihood per character of each span with its end; what goes on after all but ABREAST spans have ended is walked span by span."""
         order = np.argsort(-(ends - starts), kind="stable")
         at, sizes = starts[order], (ends - starts)[order]
         state, total = np.zeros(len(at), np.int64), np.zeros(len(at))
         for k in range(int(sizes[0]) if len(sizes) else 0):
             live = int(np.searchsorted(-sizes, -k, "left"))
+            if live <= ABREAST:
+                for i in range(live):
+                    state[i], total[i] = self._walk(data[at[i] + k : at[i] + sizes[i]], int(state[i]), float(total[i]))
+                break
             symbol = _OF[data[at[:live] + k]]
             total[:live] += self.logp[state[:live], symbol]
             state[:live] = self.move[state[:live], symbol]
@@ -198,11 +223,12 @@ def infer(words: list[bytes], alpha: float = ALPHA, same_symbol: bool = False) -
     overall = (weight.sum(0) + 0.01) / (weight.sum() + 0.01 * size)
     logp = np.log((weight + SMOOTH * overall) / (weight.sum(1, keepdims=True) + SMOOTH))
     end = (ended + SMOOTH_END * (ended.sum() + 0.01) / (passed.sum() + 0.02)) / (passed + SMOOTH_END)
-    # A symbol not seen in a state leads where most words go from there.
+    # A symbol not seen in a state leads where most words go from there; past the end of all words ordinary runs begin again.
+    again = [number[tree.children[0][symbol]] if symbol in tree.children[0] else 0 for symbol in range(size)]
     move = np.empty((len(states), size), np.int32)
     for node, i in number.items():
         usual = max(tree.children[node], key=lambda s: (tree.counts[node][s], -s), default=None)
-        move[i] = i if usual is None else number[tree.children[node][usual]]
+        move[i] = number[tree.children[node][usual]] if usual is not None else again if same_symbol else i
         for symbol, child in tree.children[node].items():
             move[i, symbol] = number[child]
     return Automaton(move, logp + np.log1p(-end)[:, None], np.log(end))
@@ -268,6 +294,13 @@ def _laid(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(words), np.uint8), np.concatenate([[0], ends[:-1]]).astype(np.int64), ends
 
 
+def _mixed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which spans hold both letters and digits; no other is a secret."""
+    digit = np.concatenate([[0], np.cumsum((data >= 48) & (data <= 57))])
+    letter = np.concatenate([[0], np.cumsum(_LETTER[data])])
+    return (digit[ends] > digit[starts]) & (letter[ends] > letter[starts])
+
+
 class Grammar:
     """The automata of all kinds and of ordinary runs, and the threshold from the fifth of their words that is held out."""
 
@@ -291,9 +324,7 @@ class Grammar:
         """Number of the kind of each candidate; -1: none."""
         if not len(starts):
             return np.zeros(0, np.int64)
-        digit = np.concatenate([[0], np.cumsum((data >= 48) & (data <= 57))])
-        letter = np.concatenate([[0], np.cumsum(_LETTER[data])])
-        mixed = np.flatnonzero((digit[ends] > digit[starts]) & (letter[ends] > letter[starts]))
+        mixed = np.flatnonzero(_mixed(data, starts, ends))
         out = np.full(len(starts), -1)
         if len(mixed):
             gain, kind = self.gains(data, starts[mixed], ends[mixed])
@@ -317,7 +348,10 @@ def base_spans(scan: Scan) -> list[tuple[int, int, int, int, int]]:
 
 
 def candidates(scan: Scan, base: list) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of credential characters, with padding and without dots, slashes and hyphens at their ends, that aren't within a base span."""
+    """Runs of credential characters, with padding and without dots, slashes and hyphens at their ends, that aren't within a base span.
+
+    Runs over LONGEST characters are there too, but for those without both letters and digits, which can't be secrets.
+    """
     data = scan.data
     starts, ends = scan.spans(_RUN[data])
     near = ends - starts >= MIN_CANDIDATE - 2  # padding may follow
@@ -325,13 +359,15 @@ def candidates(scan: Scan, base: list) -> tuple[np.ndarray, np.ndarray]:
     if not len(starts):
         return starts, ends
     last = scan.offsets[scan.rows(starts) + 1]
-    while (move := _EDGE[data[starts]] & (starts < ends - 1)).any():
-        starts = starts + move
-    while (move := _EDGE[data[ends - 1]] & (starts < ends - 1)).any():
-        ends = ends - move
+    inner = np.concatenate([[-1], np.flatnonzero(~_EDGE[data]), [len(data)]])
+    starts = np.minimum(inner[np.searchsorted(inner, starts)], ends - 1)
+    ends = np.maximum(inner[np.searchsorted(inner, ends) - 1] + 1, starts + 1)
     for _ in range(2):
         ends = ends + ((ends < last) & (data[np.minimum(ends, len(data) - 1)] == ord("=")))
-    held = (ends - starts >= MIN_CANDIDATE) & (ends - starts <= LONGEST)
+    held = ends - starts >= MIN_CANDIDATE
+    long = np.flatnonzero(ends - starts > LONGEST)
+    if len(long):
+        held[long] = _mixed(data, starts[long], ends[long])
     starts, ends = starts[held], ends[held]
     if base:
         spans = np.array(sorted((a, b) for _, a, b, *_ in base))

@@ -245,6 +245,28 @@ def test_secret_candidates():
     assert runs("=" * 30 + "abcdefghijklmnop") == ["abcdefghijklmnop"]
 
 
+def test_secrets_in_long_runs():
+    """Runs of any length are candidates and get the automata's own score; long ordinary ones are not flagged."""
+    grammar, rng = secret_scan.Grammar({}), random.Random(9)
+    tokens = ["".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=n)) for n in (4096, 4097, 20000)]
+    text = "é " + " ".join(f"--/{t}=." for t in tokens)
+    want = [f"assign:{text.index(t)}:{text.index(t) + len(t) + 1}" for t in tokens]
+    assert secret_scan.scan_piece(strings(pa.array([text])), grammar)["spans"][0] == ",".join(want)
+
+    def steps(automaton, word):
+        state, total = 0, 0.0
+        for symbol in map(secret_scan.SYMBOLS.index, word):
+            total, state = total + automaton.logp[state, symbol], automaton.move[state, symbol]
+        return (total + automaton.logend[state]) / (len(word) + 1)
+
+    many = [t[:n].encode() for t in tokens for n in (*range(16, 56), 4096, 9000)]  # some side by side, the longest one by one
+    for automaton in grammar.automata.values():
+        assert automaton.likelihood(*secret_scan._laid(many)).tolist() == [steps(automaton, w) for w in many]
+    plain = secret_scan.ordinary([], seed=90)
+    runs = [sep.join(rng.choices(plain, k=600)) for sep in (b"/", b"-", b"_") for _ in range(20)]
+    assert min(map(len, runs)) > 4096 and (grammar.kinds(*secret_scan._laid(runs)) >= 0).sum() == 0
+
+
 def test_toxicity(spark, odd, none):
     rng = random.Random(1)
     calm = ["house", "river", "walked", "green", "table", "window", "talked", "about"]
