@@ -5,7 +5,8 @@ similarity of 0.8 or more the document of the least id stays. decontamination: d
 as often as the mix takes them. shards: token ids are written as sorted string tables and read back.
 
 Rows after mixing may repeat an id; each copy is an entry of its own in the shards. Null texts and empty
-tables pass as the operators define.
+tables pass as the operators define. From the second stage on each begins with the
+executors' heaps emptied of what the one before it left.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from flightloom.llm import decontamination, mixing, ngram_join, sstable, toxicity
-from flightloom.llm._io import table, written
+from flightloom.llm._io import relieve, table, written
 
 #: Words of a shingle and least similarity of near copies here; op10's own query takes 4 words and 85.
 SHINGLE, PERCENT = 5, 80
@@ -24,18 +25,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    relieve(spark)
     return ngram_join.deduplicated(docs, n=SHINGLE, percent=PERCENT)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    relieve(spark)
     return decontamination.cleaned(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    relieve(spark)
     return mixing.mixed(docs)
 
 
 def write_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    relieve(spark)
     return sstable.round_trip(spark, docs)
 
 

@@ -27,6 +27,18 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def relieve(spark: SparkSession) -> None:
+    """release(), and the executors' JVMs give their free heap back, so that Python workers beside it find room.
+
+    A heap that has grown in one step else stays as large in the next ones, which may need little of it. The job has a
+    task for each core, and all begin at once where no others run, so each executor gets one.
+    """
+    release(spark)
+    if not spark.sparkContext._jsc.sc().isLocal():  # there the driver's JVM is the only one
+        n = spark.sparkContext.defaultParallelism
+        spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     _small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

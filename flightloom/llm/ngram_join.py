@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flightloom.llm._io import discard, release, veiled, written
+from flightloom.llm._io import discard, relieve, veiled, written
 from flightloom.llm._text import Scan, grams, mix, pieces, strings, tidy
 from flightloom.llm.components import components
 
@@ -441,7 +441,7 @@ def linked_classes(sets: DataFrame, percent: int = PERCENT, unit: int = UNIT) ->
     levels = spark.sparkContext.broadcast(cell_levels(sets))
     several = postings(sets, levels, percent).groupBy("token").agg(F.count("*").alias("members")).where("members > 1").select("token")
     among = spark.sparkContext.broadcast(key_filter(several))
-    release(spark)
+    relieve(spark)
     filed = written(postings(sets, levels, percent, among).distinct(), "filed")
     heads = filed.groupBy("token").agg(F.count("*").alias("members"), F.min(F.struct("set_key", "n", "pos")).alias("head")).where("members > 1")
     heads = written(heads, "heads")
@@ -457,14 +457,14 @@ def linked_classes(sets: DataFrame, percent: int = PERCENT, unit: int = UNIT) ->
     links = written(confirmed(pairs, first, tokens, percent), "links")
     roots = components(links)
     discard(stars, pairs, keys, tokens, first, links)
-    release(spark)
+    relieve(spark)
     members = written(partnered(units_of(met.where("members > 2"), roots, unit), bits, percent), "members")  # a list of two has no other pair
     discard(met, bits)
     keys = written(members.select("set_key", "holder").distinct(), "keys")
     tokens = tokens_of(keys, sets)
     more = written(forests(members, tokens, percent), "links")
     discard(members, keys, tokens)
-    release(spark)
+    relieve(spark)
     return components(roots.toDF("a", "b").unionByName(more))
 
 

@@ -768,6 +768,56 @@ def test_pipeline_by_stages(spark, docs):
     assert sorted(rows(P.run(spark, DIR))) == sorted(map(tuple, final))
 
 
+#: Fills an executor's heap with what is garbage afterwards, then runs stages; gives out how many lines the executor's log of collections has after each.
+HEAPS = """
+import sys
+from pathlib import Path
+import corpus_pipeline as P
+from pyspark.sql import SparkSession, functions as F
+
+top, data = sys.argv[1:]
+log = Path(top, "gc.log")
+conf = {"spark.master": "local-cluster[1,2,1400]", "spark.executor.memory": "1000m", "spark.executor.extraJavaOptions": f"-Xlog:gc:file={log}", "spark.driver.host": "127.0.0.1", "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "4", "spark.checkpoint.dir": f"file://{top}/shared", "spark.sql.warehouse.dir": f"{top}/warehouse"}
+spark = SparkSession.builder.config(map=conf).getOrCreate()
+filled = spark.range(0, 4_000_000, 1, 2).select(F.md5(F.col("id").cast("string")).alias("m"), (F.col("id") % 1000).alias("k"))
+filled.groupBy("k").agg(F.size(F.collect_list("m"))).write.format("noop").mode("overwrite").save()
+docs = spark.createDataFrame([(i, f"text {i}", "web") for i in range(9)], "doc_id long, text string, source string")
+print("LINES", len(log.read_text().splitlines()))
+for name, stage in P.STAGES[2:]:
+    print("ROWS", len(stage(spark, docs, data).collect()))
+    print("LINES", len(log.read_text().splitlines()))
+spark.stop()
+"""
+
+
+def test_stages_begin_with_empty_heaps(tmp_path):
+    """An executor's heap that has grown in one stage is given back before the next one."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    import pyspark
+
+    home = tmp_path / "home"  # executors' logs go to work in Spark's home
+    home.mkdir()
+    for p in Path(pyspark.__file__).parent.iterdir():
+        if p.name != "work":
+            (home / p.name).symlink_to(p)
+    root = str(Path(__file__).resolve().parents[2])
+    env = os.environ | {"SPARK_HOME": str(home), "SPARK_SCALA_VERSION": "2.13", "SPARK_LOCAL_IP": "127.0.0.1", "PYSPARK_PYTHON": sys.executable, "PYTHONPATH": f"{root}:{os.environ.get('PYTHONPATH', '')}"}
+    for name in ("PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET"):
+        env.pop(name, None)
+    run = subprocess.run([sys.executable, "-c", HEAPS, str(tmp_path), DIR], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    ends = [int(n) for n in re.findall(r"^LINES (\d+)", run.stdout, re.MULTILINE)]
+    assert len(ends) == 4 and "ROWS 9" in run.stdout, run.stderr[-500:]
+    log = (tmp_path / "gc.log").read_text().splitlines()
+    grown = max(int(n) for line in log[: ends[0]] for n in re.findall(r"->\d+M\((\d+)M\)", line))
+    for a, b in zip(ends, ends[1:]):
+        full = [int(n) for line in log[a:b] for n in re.findall(r"Pause Full \(System.gc\(\)\) \d+M->\d+M\((\d+)M\)", line)]
+        assert full and max(full) < 0.6 * grown, (full, grown)
+
+
 def test_pipeline_links_five_words(spark):
     """The near_duplicates stage against a brute force of five words and 0.8."""
     import corpus_pipeline as P
